@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, licenses, sharding, simhash
+from . import chat, decontam, imatch, licenses, pieces, pii, quality, sharding, simhash
 from .common import text_or_empty
 
 
@@ -15,6 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for the secret that a deployment passes in.
+DEMO_KEY = "demo key, replace"
+#: Where the public tokenizers' files are; a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+    kinds = F.array_join(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), x["n"].cast("string"))), ",")
+    n = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return made.select(F.col("id").alias("doc_id"), n.alias("n_found"), kinds.alias("kinds"), "text")
+
+
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "p_content", "p_metadata", "p_quality", "keep")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -26,6 +44,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return made.select(F.col("id").alias("doc_id"), "n_pieces", "ids", "round_trip")
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
     bits = imatch.lexicon(docs, F.col("text"))
