@@ -70,3 +70,23 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
             break
         before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
+
+
+#: Bits of the hashes that a bit set tells apart: 2**22 bits are 512 kB at any corpus size.
+SET_BITS = 22
+
+
+def bit_set(rows: DataFrame, hashed: Column, bits: int = SET_BITS) -> Column:
+    """A constant array of longs with the lowest `bits` bits of the hashes as a set. At most 2**(bits - 6) rows come to the driver."""
+    low = hashed.bitwiseAND(F.lit((1 << bits) - 1))
+    words = rows.select(low.alias("low")).groupBy(F.shiftright("low", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("held"))
+    dense = ["0"] * (1 << (bits - 6))
+    for word, held in words.collect():
+        dense[word] = str(held)
+    return F.split(F.lit(",".join(dense)), ",").cast("array<bigint>")  # constant, so folded once
+
+
+def bit_test(hashed: Column, held: Column, bits: int = SET_BITS) -> Column:
+    """Whether the hash may be in the set; never false for one that is."""
+    low = hashed.bitwiseAND(F.lit((1 << bits) - 1))
+    return F.getbit(F.element_at(held, (F.shiftright(low, 6) + 1).cast("int")), low.bitwiseAND(F.lit(63)).cast("int")) == 1

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_or_empty
+from .common import bit_set, bit_test, text_or_empty
 
 SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms are held as hashes of so many bits, so the lexicon is a bit set of fixed size (512 kB).
@@ -41,16 +41,12 @@ def lexicon(docs: DataFrame, text: Column, band: tuple[float, float] = IDF_BAND,
     df = each.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
     idf = F.log(F.lit(n) / F.col("df"))
-    words = df.where(idf.between(*band)).groupBy(F.shiftright("term", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("set"))
-    dense = ["0"] * (1 << (bits - 6))
-    for word, held in words.collect():  # at most 2**(bits - 6) rows
-        dense[word] = str(held)
-    return F.split(F.lit(",".join(dense)), ",").cast("array<bigint>")  # constant, so folded once
+    return bit_set(df.where(idf.between(*band)), F.col("term"), bits)
 
 
 def in_band(terms: Column, bits: Column) -> Column:
     """The terms of the lexicon, sorted; of a text without any, all its terms."""
-    found = F.filter(terms, lambda t: F.getbit(F.element_at(bits, (F.shiftright(t, 6) + 1).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    found = F.filter(terms, lambda t: bit_test(t, bits, TERM_BITS))
     return F.array_sort(F.when(F.size(found) > 0, found).otherwise(terms))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, licenses, pieces, pii, quality, sharding, simhash
+from . import chat, decontam, imatch, licenses, lines, pieces, pii, quality, sharding, simhash
 from .common import text_or_empty
 
 
@@ -21,6 +21,11 @@ DEMO_KEY = "demo key, replace"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line_no", F.col("first_id").alias("first_doc_id"), "first_line_no", "n_links", "keep")
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
     kinds = F.array_join(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), x["n"].cast("string"))), ",")
