@@ -33,30 +33,29 @@ def _shingles(rows: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
     return out
 
 
-def anchors(docs_w: DataFrame, items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, list[int]]:
-    """The necessary prefix token of each benchmark window, and the shingle sizes in use.
+def item_shingles(items: DataFrame, shingle: int) -> tuple[DataFrame, list[int]]:
+    """The shingles of all items, of `shingle` words or the whole of a shorter item, and the sizes in use."""
+    sizes = sorted(r[0] for r in items.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect())  # at most `shingle` rows
+    rows = _shingles(items, sizes or [shingle], ["item_id"]).where(F.col("size") == F.least(F.lit(shingle), F.size("w")))
+    return stored(rows, "item-shingles"), sizes or [shingle]
+
+
+def anchors(its: DataFrame, seen: DataFrame, window: int) -> DataFrame:
+    """The necessary prefix token of each benchmark window.
 
     An item's windows are ordered by how rare their shingles are in the corpus. Containment must be
     whole, so the prefix that has to be shared is one token: the rarest. Windows that choose the same
     shingle of an item share a row: (item_id, item_w, span, at, token, starts).
     """
-    sizes = sorted(r[0] for r in items.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect())
-    if not sizes:
-        return items.select("item_id", F.col("w").alias("item_w"), F.lit(0).alias("span"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("token"), F.array(F.lit(0)).alias("starts")).limit(0), []
-    its = stored(_shingles(items, sizes, ["item_id"]).where(F.col("size") == F.least(F.lit(shingle), F.size("w"))), "item-shingles")
-    wanted = its.select("token").distinct()
-    if its.count() <= BROADCAST_ANCHORS * 4:
-        wanted = F.broadcast(wanted)
-    seen = _shingles(docs_w, sizes, []).select("token").join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
     span = F.least(F.lit(window), F.size("w"))
     ranked = (
-        its.join(seen, "token", "left")
+        its.join(seen.groupBy("token").agg(F.count("*").alias("n")), "token", "left")
         .select("item_id", "w", "at", "size", "token", F.coalesce("n", F.lit(0)).alias("n"), span.alias("span"))
         .withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") + F.col("size") - F.col("span")), F.least("at", F.size("w") - F.col("span")))))
     )
     rarest = ranked.groupBy("item_id", "start").agg(F.min(F.struct("n", "at", "token")).alias("best"), F.first("w").alias("item_w"), F.first("span").alias("span"))
     grouped = rarest.where("best.n > 0").groupBy("item_id", F.col("best.at").alias("at"), F.col("best.token").alias("token")).agg(F.first("item_w").alias("item_w"), F.first("span").alias("span"), F.array_sort(F.collect_set("start")).alias("starts"))
-    return stored(grouped.select("item_id", "item_w", "span", "at", "token", "starts"), "anchors"), sizes
+    return stored(grouped.select("item_id", "item_w", "span", "at", "token", "starts"), "anchors")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -64,22 +63,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: in
 
     starts is empty for an alignment that was proposed but does not hold.
 
-    A document shingle equal to a window's anchor proposes one alignment of item and document; the
-    window must fit into the document there (length and positional bounds), and its words are then
-    compared one by one. A small benchmark is broadcast, after its anchors are counted; beyond that
-    bound the anchors are shuffled by token and the texts are joined again to verify.
+    One pass over the corpus keeps the places of shingles that any item has; their counts order the
+    items' shingles by rarity. A place whose shingle is a window's anchor proposes one alignment of
+    item and document; the window must fit into the document there (length and positional bounds),
+    and its words are then compared one by one. A small benchmark is broadcast, after its shingles and
+    anchors are counted; beyond that bound they are shuffled by token.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), words(text_or_empty(item_text)).alias("w")).where(F.size("w") > 0).dropDuplicates()
     docs_w = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(text_or_empty(text_col)).alias("w"))
-    marks, sizes = anchors(docs_w, items, window, shingle)
-    sizes = sizes or [shingle]
+    its, sizes = item_shingles(items, shingle)
+    wanted = its.select("token").distinct()
+    if its.count() <= BROADCAST_ANCHORS * 4:
+        wanted = F.broadcast(wanted)
+    # rows of one id may be repeated, with other texts even: text tells them apart
+    marked = docs_w.select("id", F.xxhash64("w").alias("text_hash"), "w")
+    seen = stored(_shingles(marked, sizes, ["id", "text_hash"]).select("id", "text_hash", F.col("at").alias("doc_at"), "token").join(wanted, "token"), "seen-shingles")
+    marks = anchors(its, seen, window)
+    tokens = marks.select("item_id", "at", "token")
     small = marks.count() <= BROADCAST_ANCHORS
-    if small:
-        found = _shingles(docs_w, sizes, ["id"]).withColumnRenamed("at", "doc_at").join(F.broadcast(marks), "token")
-    else:
-        tokens = _shingles(docs_w, sizes, ["id"]).select("id", F.col("at").alias("doc_at"), "token")
-        aligned = tokens.join(marks.select("item_id", "at", "token"), "token")
-        found = aligned.join(marks, ["item_id", "at", "token"]).join(docs_w, "id")
+    placed = seen.join(F.broadcast(tokens) if small else tokens, "token")
+    per = placed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("item_id", "at", "token", "doc_at")).alias("places"))
+    aligned = per.join(marked, ["id", "text_hash"]).select("id", "w", F.explode("places").alias("place")).select("id", "w", "place.*")
+    found = aligned.join(F.broadcast(marks) if small else marks, ["item_id", "at", "token"])
     shift = F.col("doc_at") - F.col("at")
     fits = lambda s: (shift + s >= 0) & (shift + s + F.col("span") <= F.size("w"))
     same = lambda s: F.slice("w", shift + s + 1, F.col("span")) == F.slice("item_w", s + 1, F.col("span"))

@@ -47,7 +47,7 @@ def lexicon(docs: DataFrame, text: Column, band: tuple[float, float] = IDF_BAND,
 def in_band(terms: Column, bits: Column) -> Column:
     """The terms of the lexicon, sorted; of a text without any, all its terms."""
     found = F.filter(terms, lambda t: bit_test(t, bits, TERM_BITS))
-    return F.array_sort(F.when(F.size(found) > 0, found).otherwise(terms))
+    return F.sort_array(F.when(F.size(found) > 0, found).otherwise(terms))
 
 
 #: What Spark's hash gives for no terms.
