@@ -2,14 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def simple_ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, n, slope, intercept, s2, t_slope) of y on [1, x] for every unit, in one aggregation."""
+    """(by, n, slope, intercept, s2, sxx, t_slope) of y on [1, x] for every unit, in one aggregation."""
     sums = df.groupBy(*by).agg(
         F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy")
     )
     s2 = F.greatest(F.col("syy") - F.col("slope") ** 2 * F.col("sxx"), F.lit(0.0)) / (F.col("n") - 2)
-    return sums.withColumn("s2", s2).select(*by, "n", "slope", "intercept", "s2", (F.col("slope") / F.sqrt(F.col("s2") / F.col("sxx"))).alias("t_slope"))
+    return sums.withColumn("s2", s2).select(*by, "n", "slope", "intercept", "s2", "sxx", (F.col("slope") / F.sqrt(F.col("s2") / F.col("sxx"))).alias("t_slope"))
+
+
+def solve_symmetric(a: list[list[Column]], b: list[Column]) -> list[Column]:
+    """Gaussian elimination over columns, without pivoting: for the positive definite normal equations of few predictors."""
+    n = len(b)
+    a, b = [row[:] for row in a], b[:]
+    for k in range(n):
+        for i in range(k + 1, n):
+            f = a[i][k] / a[k][k]
+            a[i] = [a[i][j] - f * a[k][j] if j > k else F.lit(0.0) for j in range(n)]
+            b[i] = b[i] - f * b[k]
+    out: list[Column] = [F.lit(0.0)] * n
+    for i in reversed(range(n)):
+        rest = b[i]
+        for j in range(i + 1, n):
+            rest = rest - a[i][j] * out[j]
+        out[i] = rest / a[i][i]
+    return out
+
+
+def ols(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
+    """(by, n, intercept, b_<x>..., sse): (weighted) least squares of y on an intercept and xs, in two aggregations.
+
+    The first takes means, the second sums of centred products, so that large offsets cost no digits.
+    """
+    by, names = list(by), [*xs, y]
+    w = F.col(weight) if weight else F.lit(1.0)
+    means = df.groupBy(*by).agg(F.count("*").alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"__m_{c}") for c in names])
+    centred = df.join(means, by) if by else df.join(F.broadcast(means))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    d = lambda c: F.col(c) - F.col(f"__m_{c}")
+    sums = centred.groupBy(*by).agg(*[F.first(c).alias(c) for c in means.columns if c not in by], *[F.sum(w * d(a) * d(b)).alias(f"__s_{a}_{b}") for a, b in pairs])
+    s = lambda a, b: F.col(f"__s_{a}_{b}" if (a, b) in pairs else f"__s_{b}_{a}")
+    beta = solve_symmetric([[s(a, b) for b in xs] for a in xs], [s(a, y) for a in xs])
+    fitted = sums.select("*", *[v.alias(f"b_{x}") for x, v in zip(xs, beta)])
+    intercept, sse = F.col(f"__m_{y}"), s(y, y)
+    for x in xs:
+        intercept, sse = intercept - F.col(f"b_{x}") * F.col(f"__m_{x}"), sse - F.col(f"b_{x}") * s(x, y)
+    return fitted.select(*by, "n", intercept.alias("intercept"), *[f"b_{x}" for x in xs], sse.alias("sse"))
+
+
+def residuals(df: DataFrame, by: Sequence[str], fit: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
+    """df with resid, from the coefficients of ols()."""
+    out = F.col(y) - F.col("intercept")
+    for x in xs:
+        out = out - F.col(f"b_{x}") * F.col(x)
+    return df.join(fit.select(*by, "intercept", *[f"b_{x}" for x in xs]), list(by)).withColumn("resid", out).drop("intercept", *[f"b_{x}" for x in xs])
+
+
+def ar1(df: DataFrame, by: Sequence[str], t: str, r: str) -> DataFrame:
+    """(by, rho): lag-one autocorrelation of residuals, sum r(t) r(t-1) / sum r(t)^2."""
+    lagged = df.withColumn("__lag", F.lag(r).over(Window.partitionBy(*by).orderBy(t)))
+    return lagged.groupBy(*by).agg((F.sum(F.col(r) * F.col("__lag")) / F.sum(F.pow(r, 2))).alias("rho"))
+
+
+def ar1_bin(rho: Column, steps: int = 100) -> Column:
+    """rho truncated toward zero to a multiple of 1/steps: units of one bin share a whitened design."""
+    return (rho * steps).cast("int") / steps
+
+
+def yule_walker(df: DataFrame, by: Sequence[str], t: str, x: str, order: int = 2) -> DataFrame:
+    """(by, rho1..., sigma2): AR coefficients from biased autocovariances of the centred series."""
+    w = Window.partitionBy(*by)
+    centred = df.withColumn("__c", F.col(x) - F.avg(x).over(w))
+    lags = centred.select(*by, "__c", *[F.lag("__c", k).over(w.orderBy(t)).alias(f"__l{k}") for k in range(1, order + 1)])
+    cov = lags.groupBy(*by).agg((F.sum(F.col("__c") ** 2) / F.count("*")).alias("__r0"), *[(F.sum(F.col("__c") * F.col(f"__l{k}")) / F.count("*")).alias(f"__r{k}") for k in range(1, order + 1)])
+    r = lambda k: F.col(f"__r{abs(k)}")
+    rho = solve_symmetric([[r(i - j) for j in range(order)] for i in range(order)], [r(k) for k in range(1, order + 1)])
+    sigma2 = F.col("__r0")
+    for k, v in enumerate(rho, 1):
+        sigma2 = sigma2 - v * r(k)
+    return cov.select(*by, *[v.alias(f"rho{k}") for k, v in enumerate(rho, 1)], sigma2.alias("sigma2"))
+
+
+def t_contrast(effect: Column, variance: Column, floor: float = 1e-50) -> Column:
+    """Effect over the root of its variance, which is floored."""
+    return effect / F.sqrt(F.greatest(variance, F.lit(floor)))
+
+
+def fixed_effects(sessions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, effect, variance, dof, t) of sessions(by, effect, variance, dof): all three add."""
+    s = sessions.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("effect", "variance", "dof")])
+    return s.withColumn("t", t_contrast(F.col("effect"), F.col("variance")))
+
+
+def conjunction(df: DataFrame, by: Sequence[str], t: str, k: int) -> DataFrame:
+    """(by, conjunction): sum of the k smallest t of each unit; k is small, so a bounded array holds them."""
+    order = Window.partitionBy(*by).orderBy(t)
+    return df.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).groupBy(*by).agg(F.sum(t).alias("conjunction"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import glm
-from ..sources.tables import table
+from ..sources.tables import epoch_s, table
 from .registry import query
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(unit, t, y): mean value of each event type by hour; t counts hours since 1970."""
-    t = F.floor(F.unix_timestamp("ts") / 3600).cast("long")
+    t = F.floor(epoch_s("ts") / 3600).cast("long")
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("unit"), t.alias("t")).agg(F.avg("value").alias("y"))
 
 
