@@ -1,0 +1,314 @@
+"""Corpus operators against brute force, round trips and odd tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidegrid.llm import chat, decontam, imatch, licenses, lines, pieces, pii, quality, queries, sharding, simhash
+
+SF = "/root/testdata/sf0.001"
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def edit_distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        e = [i]
+        for j, y in enumerate(b, 1):
+            e.append(min(d[j] + 1, e[-1] + 1, d[j - 1] + (x != y)))
+        d = e
+    return d[-1]
+
+
+def mutated(r, t, n):
+    t = list(t)
+    for _ in range(n):
+        p = r.randrange(len(t))
+        k = r.randrange(3)
+        if k == 0:
+            t[p] = r.choice("abcé")
+        elif k == 1:
+            t.insert(p, r.choice("abcé"))
+        else:
+            del t[p]
+    return "".join(t)
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_banded_distance(spark, threshold):
+    r = random.Random(threshold)
+    rows = []
+    while len(rows) < 200:
+        a = "".join(r.choice("abcé") for _ in range(r.randrange(10, 30)))
+        b = mutated(r, a, r.randrange(6))
+        if abs(len(a) - len(b)) <= threshold:
+            rows.append((a, b))
+    got = spark.createDataFrame(rows, "a string, b string").withColumn("w", lines.within(F.col("a"), F.col("b"), threshold)).collect()
+    assert [x.w for x in got] == [edit_distance(x.a, x.b) <= threshold for x in got]
+
+
+@pytest.mark.parametrize("threshold,bucket", [(1, 64), (1, 3), (2, 64)])
+def test_line_classes(spark, threshold, bucket):
+    r = random.Random(7)
+    base = ["".join(r.choice("abcdef ") for _ in range(r.randrange(24, 40))) for _ in range(5)]
+    texts = [(i, "\n".join([*(mutated(r, r.choice(base), r.randrange(4)) for _ in range(4)), "short", ""])) for i in range(40)]
+    got = {(x.id, x.line_no): x for x in lines.classes(spark.createDataFrame(texts, "doc_id long, text string"), threshold, 24, bucket).collect()}
+    every = [(d, n, line) for d, t in texts for n, line in enumerate(t.split("\n"))]
+    long = sorted({x for _, _, x in every if len(x) >= 24})
+    near = {a: [b for b in long if a != b and abs(len(a) - len(b)) <= threshold and edit_distance(a, b) <= threshold] for a in long}
+    root = {}
+    for a in long:
+        if a not in root:
+            root[a], todo = a, [a]
+            while todo:
+                for b in near[todo.pop()]:
+                    if b not in root:
+                        root[b] = a
+                        todo.append(b)
+    first = {}
+    for d, n, line in every:
+        if len(line) >= 24:
+            first.setdefault(root[line], (d, n))
+    assert len(got) == len(every)
+    for d, n, line in every:
+        x = got[d, n]
+        name = first[root[line]] if len(line) >= 24 else (d, n)
+        assert ((x.first_id, x.first_line_no), x.n_links, x.keep) == (name, len(near.get(line, ())), name == (d, n))
+
+
+def test_line_dedup_rebuilds_texts(spark):
+    a, b = "this line is long enough to be judged", "another line that is long enough as well"
+    rows = [(1, f"{a}\nx\n{b}"), (2, f"{a}!\nx\n\nown text of the second document here"), (3, a), (4, None)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"{a}\nx\n{b}", 2: "x\n\nown text of the second document here", 3: "", 4: None}
+
+
+def test_simhash(spark, docs):
+    def fingerprint(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.translate(UPPER)) if w]
+        if not words:
+            return 0
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    marks = {d: fingerprint(t) for d, t in docs}
+    root = {d: d for d in marks}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for x in marks:
+        for y in marks:
+            if x < y and bin(marks[x] ^ marks[y]).count("1") <= 2 and find(x) != find(y):
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash_balls(spark, SF).collect()}
+    assert got == {d: (f"{m:016x}", find(d)) for d, m in marks.items()}
+
+
+def test_simhash_balls_meet_in_chains(spark):
+    marks = [0, 0b11, 0b1111, 1 << 63, 0b1111 | 1 << 40 | 1 << 41 | 1 << 42]
+    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
+    links = {frozenset((r.fp % (1 << 64), r.other % (1 << 64))) for r in simhash.near_links(spark.createDataFrame([(m,) for m in signed], "fp long")).collect()}
+    assert {0, 0b11} in links and {0b11, 0b1111} in links and not any(marks[4] in x for x in links)
+
+
+def test_decontamination(spark, docs):
+    items = [(r.item_id, r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(UPPER))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        if w:
+            n = min(13, len(w))
+            for k in range(len(w) - n + 1):
+                windows[tuple(w[k : k + n])].add(str(i))
+    sizes = {len(w) for w in windows}
+    want = {}
+    for d, t in docs:
+        w, hit, found = split(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (items_here := windows.get(tuple(w[k : k + n]))) is not None:
+                    hit.update(range(k, k + n))
+                    found |= items_here
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        want[d] = (len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op9_benchmark_decontamination(spark, SF).collect()}
+    assert got == want and any(x[4] for x in want.values())
+
+
+def test_shards(spark, docs):
+    got = queries.op8_karmarkar_karp_shards(spark, SF).collect()
+    texts = dict(docs)
+    assert len(got) == len(docs)
+    place, slots, sums = {}, defaultdict(list), Counter()
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        assert place.setdefault(texts[r.doc_id], r.shard) == r.shard
+        slots[r.shard].append(r.slot)
+        sums[r.shard] += r.size
+    assert set(sums) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sums.values()) - min(sums.values()) <= max(len(t.encode()) for t in texts.values())
+
+
+def test_differencing_levels(spark):
+    r = random.Random(3)
+    groups = [(str(i), r.randrange(1, 1000)) for i in range(500)]
+    got = {x.group: x.shard for x in sharding.balanced(spark.createDataFrame(groups, "group string, size long"), 4, bin_items=50).collect()}
+    sums = Counter()
+    for g, n in groups:
+        sums[got[g]] += n
+    assert len(got) == 500 and max(sums.values()) - min(sums.values()) <= 50
+
+
+def test_imatch(spark, docs):
+    got = {r.doc_id: r for r in queries.op6_imatch(spark, SF).collect()}
+    order = sorted(docs, reverse=True)
+    by_text = defaultdict(set)
+    for k, (d, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        n = len(t) // 3
+        edited = t[: len(t) - n] + following[:n]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert edited != t or (r.near_edited == 1 and r.edited_fingerprint == r.fingerprint)
+        by_text[t].add(r.fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert sum(r.near_edited for r in got.values()) > sum(r.near_next for r in got.values())
+
+
+def test_chat(spark):
+    rows = [(r.conv_id, r.turn, r.role or "", r.text or "") for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
+    own = "<|im_end|><|im_start|>assistant ok"
+    rows += [(-1, 0, "user", own), (-1, 1, "assistant", own)]
+    conv = defaultdict(list)
+    for c, *turn in rows:
+        conv[c].append(tuple(turn))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for c, turns in conv.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        want[c] = (len(turns), sha("".join(f"{role}\n{t}\n" for _, role, t in turns)), len(loss), sha(loss))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op4_chat_formatting(spark, SF).collect()}
+    assert got == want
+
+
+def test_chat_windows_fit(spark):
+    rows = [(1, 0, "system", "be brief")] + [(1, i, "user" if i % 2 else "assistant", f"word {i} " * (i % 7)) for i in range(1, 40)]
+    got = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=40, history=12).orderBy("window").collect()
+    assert len(got) > 3 and all(w.formatted.startswith("<|im_start|>system\nbe brief<|im_end|>\n") for w in got)
+    assert all(w.tokens <= 40 for w in got) and sum(w.n_new for w in got) == len(rows)
+    masked = [w.formatted[m.start : m.start + m.length] for w in got for m in w.mask]
+    assert masked == [t for _, _, role, t in rows if role == "assistant"]
+
+
+def test_pieces_agree_with_exhaustive_search():
+    table = [("<unk>", 0.0, "other"), ("▁", -3.0, "normal")] + [(p, s, "normal") for p, s in (("a", -2.0), ("b", -2.2), ("ab", -3.0), ("▁a", -3.5), ("aba", -4.1), ("bb", -3.9), ("▁ab", -5.5))]
+    p = pieces.Pieces(table)
+    score = {x: s for x, s, k in table if k == "normal"}
+    r = random.Random(5)
+    for _ in range(300):
+        text = "▁" + "".join(r.choice("ab▁") for _ in range(r.randrange(1, 40)))
+        best = [0.0] + [-math.inf] * len(text)
+        for i in range(1, len(text) + 1):
+            best[i] = max(best[j] + score.get(text[j:i], -math.inf) for j in range(max(0, i - 3), i))
+        ids = list(p.stream(text))
+        assert "".join(table[i][0] for i in ids) == text
+        assert abs(sum(table[i][1] for i in ids) - best[-1]) < 1e-9
+
+
+def test_pieces_round_trip(spark, docs):
+    made = pieces.encode(spark.read.parquet(f"{SF}/documents.parquet"), queries.PIECE_MODEL)
+    assert made.where("not round_trip").count() == 0
+    back = {r.id: r.text for r in pieces.decode(made, queries.PIECE_MODEL).collect()}
+    assert back == dict(docs)
+
+
+def test_pii_links_and_validity(spark):
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    rows = [(1, f"card {card} on 2020-02-29 from 192.168.1.7"), (2, f"again {card}, {iban}; 4111 1111 1111 1112 and 999.1.1.1"), (3, None)]
+    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    find = lambda t: re.search(r"\d{4} \d{4} \d{4} \d{4}", t)[0]
+    one = find(got[1].text)
+    digits = [int(c) for c in one if c.isdigit()]
+    assert one != card and find(got[2].text) == one
+    assert sum(d if i % 2 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(digits)) % 10 == 0
+    assert "4111 1111 1111 1112" in got[2].text and "999.1.1.1" in got[2].text and iban not in got[2].text
+    new = re.search(r"DE\d{20}", got[2].text)[0]
+    assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert got[3].text is None and got[3].found == []
+
+
+def test_pii_permutes(spark):
+    rows = spark.range(1000).select(pii.permute_digits(F.lit("k"), "x", F.lpad(F.col("id").cast("string"), 3, "0")).alias("d"))
+    assert {r.d for r in rows.collect()} == {f"{i:03d}" for i in range(1000)}
+
+
+def test_licenses(spark):
+    rows = [(1, "Intro.\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, "no licence"), (4, None)]
+    got = {r.id: list(r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: [], 4: []}
+
+
+def test_license_rules_are_ordered(spark):
+    known = {"a": "first sentence", "b": "second sentence"}
+    rows = [(1, "First sentence. x. Second sentence."), (2, "Second sentence. First sentence.")]
+    got = {r.id: list(r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known=known, rules=[("AB", ("a", "b"))]).collect()}
+    assert got == {1: ["AB"], 2: []}
+
+
+def test_quality_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    train, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    got = quality.classify(d, train).join(held.select("doc_id", "quality"), "doc_id").select("keep", "quality").collect()
+    right = sum(r.keep == bool(r.quality) for r in got) / len(got)
+    kept = sum(r.keep for r in got if r.quality == 1) / sum(r.quality == 1 for r in got)
+    assert right >= 0.9 and kept >= 0.95
+
+
+ODD = [(1, "", 5), (2, None, 5), (None, "some words of a text without an id", 1), (3, "x y z " * 20000, 2), (4, "tie", 2), (4, "tie", 2), (5, "\n\n  \t", 2), (6, "émoji 😀 " * 40, 0)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "src", 0, k, "w", 0, True) for i, t, k in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n long, key string, rank long, keep boolean")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_tables(spark, odd, empty):
+    d = odd.limit(0) if empty else odd
+    with_id, every = (0, 0) if empty else (7, 8)
+    bench = spark.createDataFrame([(1, "tie"), (1, "tie"), (2, None), (None, "x")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert simhash.near_duplicates(d).count() == with_id
+    assert decontam.contamination(d, bench).count() == with_id
+    assert decontam.contamination(d, bench.limit(0)).count() == with_id
+    assert licenses.scan(d).count() == with_id
+    assert sharding.shard(d, 3).count() == every
+    assert imatch.fingerprints(d).count() == every
+    assert pii.pseudonymise(d, "k").count() == every
+    assert pieces.encode(d, queries.PIECE_MODEL).where("round_trip").count() == every
+    assert quality.classify(d, labels).where("keep").count() == every
+    assert lines.dedup(d).columns == d.columns and lines.dedup(d).count() == every
+    turns = spark.createDataFrame([(None, 0, None, None), (1, None, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.windows(turns.limit(0) if empty else turns)).count() == (0 if empty else 2)
