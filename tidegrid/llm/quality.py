@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ STEPS = 120
 #: Word weights are kept as multiples of this, so that sums do not depend on their order.
 UNIT = 2.0**-32
 CACHE_WORDS = 400_000
+#: Entries of the training data that are worked on at a time.
+BLOCK = 1 << 18
 
 
 def word_features(word: str) -> list[int]:
@@ -66,11 +69,26 @@ class Sparse:
     values: np.ndarray
     offsets: np.ndarray
 
+    def blocks(self) -> Iterator[tuple[int, int, slice]]:
+        """Row ranges of about BLOCK entries, with their slice of the entries: what is made of them at a time stays small."""
+        row, n = 0, len(self.offsets) - 1
+        while row < n:
+            stop = max(row + 1, int(np.searchsorted(self.offsets, self.offsets[row] + BLOCK, "right")) - 1)
+            yield row, stop, slice(int(self.offsets[row]), int(self.offsets[stop]))
+            row = stop
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(np.append(w[self.ids] * self.values, 0.0), self.offsets[:-1]) * (np.diff(self.offsets) > 0)
+        out = np.zeros(len(self.offsets) - 1)
+        for row, stop, part in self.blocks():
+            sums = np.add.reduceat(np.append(w[self.ids[part]] * self.values[part], 0.0), self.offsets[row:stop] - part.start)
+            out[row:stop] = sums * (np.diff(self.offsets[row : stop + 1]) > 0)
+        return out
 
     def back(self, g: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.ids, self.values * np.repeat(g, np.diff(self.offsets)), minlength=n)
+        out = np.zeros(n)
+        for row, stop, part in self.blocks():
+            out += np.bincount(self.ids[part], self.values[part] * np.repeat(g[row:stop], np.diff(self.offsets[row : stop + 1])), minlength=n)
+        return out
 
     def rows(self, keep: np.ndarray) -> Sparse:
         parts = [slice(self.offsets[i], self.offsets[i + 1]) for i in keep]
@@ -163,7 +181,7 @@ def scores(model: Model, texts: list[str], sources: list, langs: list) -> np.nda
     return np.round(np.stack([_sigmoid(a), _sigmoid(b), _sigmoid(a + b - prior)], axis=1), 9)
 
 
-def _gather(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, source_col: str | None, lang_col: str | None) -> pd.DataFrame:
+def _gather(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, source_col: str | None, lang_col: str | None) -> pa.Table:
     """Both views' features of the chosen ids; their number is bounded, so they come to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +203,7 @@ def _gather(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, sour
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), col(source_col).alias("source"), col(lang_col).alias("lang"))
     picked = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     got = picked.mapInPandas(run, "id string, part int, quality int, ids array<int>, values array<float>, meta array<double>")
-    return got.toPandas().sort_values("id", ignore_index=True)
+    return got.toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model:
@@ -202,24 +220,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = given.join(ids, "id", "left_semi").orderBy(draw(0), "id").limit(labelled_rows).select("id", F.lit(-1).alias("part"), "quality")
     others = ids.join(given, "id", "left_anti").orderBy(draw(1), "id").limit(pool_rows * rounds).select("id", F.pmod(draw(2), F.lit(max(1, rounds))).cast("int").alias("part"), F.lit(None).cast("int").alias("quality"))
     data = _gather(docs, known.unionByName(others).dropDuplicates(["id"]), id_col, text_col, source_col, lang_col)
-    lab = (data["part"] == -1).to_numpy()
-    y = data["quality"].fillna(0).clip(0, 1).astype(int).to_numpy()
+    order = np.argsort(np.array(data["id"].to_pylist(), dtype=object), kind="stable")
+    ids = [data["id"][int(i)].as_py() for i in order]
+    part = data["part"].to_numpy()[order]
+    lab = part == -1
+    y = np.clip(data["quality"].fill_null(0).to_numpy()[order], 0, 1).astype(int)
     good = int(y[lab].sum())
     prior = (good + 1) / (lab.sum() + 2)
     if good in (0, int(lab.sum())) or min(good, lab.sum() - good) < 4:
         return Model(float(prior), stats={"labelled": int(lab.sum())})
-    counts = data["ids"].map(len).to_numpy()
-    x = Sparse(np.concatenate(data["ids"].to_list()).astype(np.int64), np.concatenate(data["values"].to_list()).astype(float), np.concatenate([[0], np.cumsum(counts)]))
-    meta = np.array(data["meta"].to_list())
+    listed, values = data["ids"].combine_chunks(), data["values"].combine_chunks()
+    x = Sparse(listed.values.to_numpy(), values.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64)).rows(order)
+    meta = data["meta"].combine_chunks().values.to_numpy().reshape(-1, META)[order]
+    del data, listed, values
     mean, sd = meta.mean(axis=0), np.maximum(meta.std(axis=0), 0.05)
     dense = (meta - mean) / sd
-    z = Sparse(np.tile(np.arange(META), len(data)), dense.ravel(), np.arange(len(data) + 1) * META)
+    z = Sparse(np.tile(np.arange(META), len(ids)), dense.ravel(), np.arange(len(ids) + 1) * META)
     # every class is split alike between fitting and calibration
-    rank = pd.Series([xxhash.xxh64_intdigest(i.encode(), 7) for i in data["id"]])
-    held = np.zeros(len(data), dtype=bool)
+    rank = np.array([xxhash.xxh64_intdigest(i.encode(), 7) for i in ids], dtype=np.uint64)
+    held = np.zeros(len(ids), dtype=bool)
     for c in (0, 1):
         mine = np.flatnonzero(lab & (y == c))
-        held[mine[np.argsort(rank.to_numpy()[mine])[: max(2, int(HELD_OUT * len(mine)))]]] = True
+        held[mine[np.argsort(rank[mine])[: max(2, int(HELD_OUT * len(mine)))]]] = True
     base = np.flatnonzero(lab & ~held)
     extra: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # pseudo-labels for the content view, for the metadata view
     views = (x, z)
@@ -239,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fits = [refit(0), refit(1)]
     exchanged = [0, 0]
     for r in range(rounds):
-        pool = np.flatnonzero((data["part"] == r).to_numpy())
+        pool = np.flatnonzero(part == r)
         if not len(pool):
             continue
         for k in (0, 1):
