@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, text_or_empty
+from .common import ascii_lower, bit_set, bit_test, stored, text_or_empty
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words when A-Z has not been lower-cased yet; enough to count them.
@@ -70,20 +70,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: in
     anchors are counted; beyond that bound they are shuffled by token.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), words(text_or_empty(item_text)).alias("w")).where(F.size("w") > 0).dropDuplicates()
-    docs_w = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(text_or_empty(text_col)).alias("w"))
+    text = text_or_empty(text_col)
+    # rows of one id may be repeated, with other texts even: text_hash tells them apart
+    marked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
     its, sizes = item_shingles(items, shingle)
     wanted = its.select("token").distinct()
     if its.count() <= BROADCAST_ANCHORS * 4:
         wanted = F.broadcast(wanted)
-    # rows of one id may be repeated, with other texts even: text tells them apart
-    marked = docs_w.select("id", F.xxhash64("w").alias("text_hash"), "w")
     seen = stored(_shingles(marked, sizes, ["id", "text_hash"]).select("id", "text_hash", F.col("at").alias("doc_at"), "token").join(wanted, "token"), "seen-shingles")
     marks = anchors(its, seen, window)
     tokens = marks.select("item_id", "at", "token")
     small = marks.count() <= BROADCAST_ANCHORS
     placed = seen.join(F.broadcast(tokens) if small else tokens, "token")
-    per = placed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("item_id", "at", "token", "doc_at")).alias("places"))
-    aligned = per.join(marked, ["id", "text_hash"]).select("id", "w", F.explode("places").alias("place")).select("id", "w", "place.*")
+    per = stored(placed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("item_id", "at", "token", "doc_at")).alias("places")), "placed-anchors")
+    # a set of fixed size keeps most texts without an anchor out of the shuffle
+    near = marked.where(bit_test(F.col("text_hash"), bit_set(per, F.col("text_hash"))))
+    aligned = per.join(near, ["id", "text_hash"]).select("id", "w", F.explode("places").alias("place")).select("id", "w", "place.*")
     found = aligned.join(F.broadcast(marks) if small else marks, ["item_id", "at", "token"])
     shift = F.col("doc_at") - F.col("at")
     fits = lambda s: (shift + s >= 0) & (shift + s + F.col("span") <= F.size("w"))
