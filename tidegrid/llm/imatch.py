@@ -114,7 +114,9 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     descending = Window.orderBy(F.desc("range"))
     first = heads.agg(F.max("id")).scalar()
     follow = heads.select("range", F.coalesce(F.lead("id").over(descending), first).alias("id"))
-    halo = rows.join(follow, "id").withColumn("halo", F.lit(1))
+    # a set of fixed size keeps most rows, which head no range, out of the shuffle
+    near = rows.where(bit_test(F.xxhash64("id"), bit_set(follow, F.xxhash64("id"))))
+    halo = near.join(follow, "id").withColumn("halo", F.lit(1))
     order = Window.partitionBy("range").orderBy("halo", F.desc("id"), *[F.desc(c) for c in columns])
     both = placed.withColumn("halo", F.lit(0)).unionByName(halo.select(*placed.columns, "halo"))
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("halo = 0").drop("halo", "range")
