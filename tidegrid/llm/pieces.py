@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: How far an unknown character lies below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Words that a Python worker remembers before it forgets them all.
+#: Words that a Python worker remembers; it forgets the half not met of late.
 CACHE_WORDS = 400_000
 #: Words longer than this are not remembered.
 CACHE_LENGTH = 64
@@ -36,7 +37,15 @@ class Pieces:
         self.table = table
         self.ids = {p: (i, s) for i, (p, s, k) in enumerate(table) if k == "normal"}
         self.longest = max((len(p) for p in self.ids), default=1)
-        self.suffixes = {p[n:] for p in self.ids for n in range(len(p))}
+        #: The pieces as a tree: under each character, (what may follow, the ids of the piece that ends here or nothing, its score).
+        self.tree: dict[str, tuple[dict, tuple[int, ...], float]] = {}
+        for p, (i, x) in self.ids.items():
+            under = self.tree
+            for c in p[:-1]:
+                under = under.setdefault(c, ({}, (), 0.0))[0]
+            under[p[-1]] = (under[p[-1]][0] if p[-1] in under else {}, (i,), x)
+        #: Neighbours within pieces: paths meet between any other two characters.
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(table) if k == "byte"}
         self.unknown = next((i for i, (p, _, k) in enumerate(table) if k == "other" and p == "<unk>"), 0)
         self.worst = min((s for _, s in self.ids.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
@@ -44,42 +53,45 @@ class Pieces:
         #: Where a piece may run on after a character that is not a space into a space; such models get no word cache.
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
-    def stream(self, chars: Iterator[str] | str) -> Iterator[int]:
+    def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of the best segmentation: largest sum of scores; of equal ones the longest last piece, at each boundary.
 
-        Characters come one at a time. At each boundary the best path into it is kept for as long as a
-        piece may start there: the longest piece's length. When the last pieces of all boundaries still
-        in the window go back, through their paths, to one boundary, everything before it is final and
-        its ids are given out. The text needed for that is the window's; without a common boundary the
-        paths are held until one is found, which in the worst case is the end of the text.
+        Characters are read in blocks. A boundary is extended once as many characters follow it as the
+        longest piece has, so the paths that survive all end within that length of the last boundary
+        extended. When they go back to one boundary, everything before it is final: its ids are given out
+        and its characters forgotten. Without a common boundary the paths are held until one is found,
+        which in the worst case is the end of the text.
         """
-        ids, suffixes, longest, worst = self.ids, self.suffixes, self.longest, self.worst
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, tuple[int, ...]]] = {}  # boundary -> (the one before, ids between)
-        window, at, done, due = "", 0, 0, 2 * longest
-        for c in chars:
-            window = (window + c)[-longest:]
-            at += 1
-            top, start, piece = None, 0, ()
-            n = len(window)
-            for size in range(1, min(n, at - done) + 1):
-                tail = window[n - size :]
-                hit = ids.get(tail)
-                if hit is not None:
-                    score = best[at - size] + hit[1]
-                    if top is None or score >= top:
-                        top, start, piece = score, at - size, (hit[0],)
-                elif size == 1:
-                    top, start, piece = best[at - 1] + worst, at - 1, self.spelled(c)
-                if tail not in suffixes:
-                    break
-            best[at], back[at] = top, (start, piece)
-            best.pop(at - longest, None)
-            if at >= due:
-                done, given = self.settle(best, back, done)
-                yield from given
-                due = at + longest
-        yield from self.path(back, at, done)
+        tree, ids, longest, worst = self.tree, self.ids, self.longest, self.worst
+        source, block = iter(chars), 2 * longest
+        held, best, back = "", [0.0], [None]  # at each boundary: the best score, (characters, ids) of the last piece
+        ready, ended = 0, False
+        while not ended:
+            more = "".join(islice(source, block))
+            ended = len(more) < block
+            held += more
+            n = len(held)
+            best += [float("-inf")] * len(more)
+            back += [None] * len(more)
+            last = n if ended else n - longest + 1
+            for i in range(ready, last):
+                score, under, j = best[i], tree, i
+                for c in held[i : i + longest]:
+                    hit = under.get(c)
+                    if hit is None:
+                        break
+                    under, piece, gain = hit
+                    j += 1
+                    if piece and score + gain > best[j]:
+                        best[j], back[j] = score + gain, (j - i, piece)
+                if best[i + 1] < score + worst and held[i] not in ids:
+                    best[i + 1], back[i + 1] = score + worst, (1, self.spelled(held[i]))
+            ready = last
+            if not ended:
+                common = self.common(back, [k for k in range(ready, n + 1) if back[k] is not None])
+                yield from self.path(back, common)
+                held, best, back, ready = held[common:], best[common:], back[common:], ready - common
+        yield from self.path(back, len(held))
 
     def spelled(self, c: str) -> tuple[int, ...]:
         """An unknown character as its bytes, or as the unknown id if the model has no bytes."""
@@ -87,28 +99,23 @@ class Pieces:
         return tuple(self.bytes[b] for b in raw) if all(b in self.bytes for b in raw) else (self.unknown,)
 
     @staticmethod
-    def path(back: dict, at: int, done: int) -> list[int]:
+    def path(back: list, at: int) -> list[int]:
         parts = []
-        while at > done:
-            at, piece = back[at]
+        while at > 0:
+            size, piece = back[at]
             parts.append(piece)
+            at -= size
         return [i for p in reversed(parts) for i in p]
 
-    def settle(self, best: dict, back: dict, done: int) -> tuple[int, list[int]]:
-        """The boundary on which all surviving paths agree, and the ids up to it, which are final."""
-        alive = sorted(best)
+    @staticmethod
+    def common(back: list, alive: Iterable[int]) -> int:
+        """The last boundary through which the paths into all of these boundaries go; 0 is one."""
         heads = set(alive)
         while len(heads) > 1:
-            last = max(heads)
-            heads.discard(last)
-            heads.add(back[last][0] if last > done else done)
-        common = heads.pop()
-        if common <= done:
-            return done, []
-        given = self.path(back, common, done)
-        for b in [b for b in back if b <= common]:
-            del back[b]
-        return common, given
+            far = max(heads)
+            heads.discard(far)
+            heads.add(far - back[far][0])
+        return heads.pop()
 
     def encode(self, text: str, cache: dict[str, bytes] | None = None) -> bytes:
         """Little-endian 32-bit ids of a text, after the model's leading space."""
@@ -131,21 +138,30 @@ class Pieces:
 
 
 class WordCache(dict):
-    """Ids by word; a missing word is searched, and the cache is emptied when it is full."""
+    """Ids by word. A missing word is looked for among those met before the last clearing, then searched."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        unit = word[1:] if word[:1] == "\0" and word[1:2] == SPACE else SPACE + word
-        found = array("i", self.pieces.stream(unit)).tobytes()
+        found = self.before.pop(word, None)
+        if found is None:
+            found = self.search(word)
         if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
 
+    def search(self, word: str) -> bytes:
+        if 2 < len(word) <= CACHE_LENGTH and word[-2:] not in self.pieces.pairs:
+            return self[word[:-1]] + array("i", self.pieces.stream(word[-1])).tobytes()
+        unit = word[1:] if word[:1] == "\0" and word[1:2] == SPACE else SPACE + word
+        return array("i", self.pieces.stream(unit)).tobytes()
+
 
 _HELD: dict[str, tuple[Pieces, WordCache]] = {}
 
