@@ -93,3 +93,21 @@ def test_streams_match_batches(spark, tmp_path):
     for x in spark.table("fits").where(F.col("t") == 29).collect():
         slope, intercept = np.polyfit(range(30), [y[x.unit, t] for t in range(30)], 1)
         assert abs(x.slope - slope) < 1e-4 and abs(x.intercept - intercept) < 1e-3
+
+
+def test_spanning_forest(spark):
+    r = np.random.default_rng(3)
+    edges = sorted({(int(a), int(b)): float(r.integers(1, 6)) for a, b in r.integers(0, 24, (60, 2))}.items())
+    rows = [(a, b, w) for (a, b), w in edges] + [(b, a, w + 1) for (a, b), w in edges[:5]]
+    made = grid.spanning_forest(spark.range(26), spark.createDataFrame(rows, "src long, dst long, w double"))
+    least = {}
+    for a, b, w in rows:
+        k = (min(a, b), max(a, b))
+        least[k] = min(w, least.get(k, w))
+    tree, expected = list(range(26)), set()
+    for w, (a, b) in sorted((w, k) for k, w in least.items()):
+        if tree[a] != tree[b]:
+            expected.add((a, b, w))
+            tree = [tree[a] if t == tree[b] else t for t in tree]
+    assert {(x.src, x.dst, x.w) for x in made.collect()} == expected
+    assert grid.spanning_forest(spark.range(3), spark.createDataFrame([], "src long, dst long, w double")).count() == 0

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grid import cut
+
 
 def simple_ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, n, slope, intercept, s2, sxx, t_slope) of y on [1, x] for every unit, in one aggregation."""
@@ -105,3 +107,32 @@ def conjunction(df: DataFrame, by: Sequence[str], t: str, k: int) -> DataFrame:
     """(by, conjunction): sum of the k smallest t of each unit; k is small, so a bounded array holds them."""
     order = Window.partitionBy(*by).orderBy(t)
     return df.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).groupBy(*by).agg(F.sum(t).alias("conjunction"))
+
+
+def irls(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, family: str, rounds: int) -> DataFrame:
+    """(by, intercept, b_<x>...): a generalised linear model with the canonical link, family binomial (y from 0 to 1) or poisson.
+
+    Each round is one aggregation of weighted sums; the coefficients, one row a unit, are joined to the
+    rows and their lineage is cut. It starts from the link of the unit's mean. Rows with a null are left
+    out; where the mean has no finite link the coefficients are null.
+    """
+    by, names = list(by), ["intercept", *[f"b_{x}" for x in xs]]
+    rows = df.select(*by, *xs, y).dropna(subset=[*xs, y])
+    mean = F.avg(y)
+    start = F.when((mean > 0) & (mean < 1), F.log(mean / (1 - mean))) if family == "binomial" else F.when(mean > 0, F.log(mean))
+    now = rows.groupBy(*by).agg(start.alias("intercept"), *[F.lit(0.0).alias(c) for c in names[1:]])
+    value = [F.lit(1.0), *map(F.col, xs)]
+    for _ in range(rounds):
+        eta = F.col("intercept")
+        for c, x in zip(names[1:], value[1:]):
+            eta = eta + F.col(c) * x
+        mu = 1 / (1 + F.exp(-eta)) if family == "binomial" else F.exp(eta)
+        held = rows.join(now, by).select("*", eta.alias("__eta"), mu.alias("__mu"))
+        held = held.withColumn("__w", F.col("__mu") * (1 - F.col("__mu")) if family == "binomial" else F.col("__mu"))
+        z, size = F.col("__eta") + (F.col(y) - F.col("__mu")) / F.col("__w"), range(len(names))
+        sums = held.groupBy(*by).agg(
+            *[F.sum(F.col("__w") * value[i] * value[j]).alias(f"__s{i}_{j}") for i in size for j in size if i <= j], *[F.sum(F.col("__w") * value[i] * z).alias(f"__z{i}") for i in size]
+        )
+        beta = solve_symmetric([[F.col(f"__s{min(i, j)}_{max(i, j)}") for j in size] for i in size], [F.col(f"__z{i}") for i in size])
+        now = cut(sums.select(*by, *[b.alias(c) for b, c in zip(beta, names)]))
+    return now

@@ -80,6 +80,27 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, vertex: str = "id", src:
     return best
 
 
+def spanning_forest(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
+    """(src, dst, w), src < dst: the edges of a minimum spanning forest; of equal weights the least (src, dst) goes first.
+
+    Every round each tree takes its least edge to another tree, and trees so joined become one, which at
+    least halves their number. Each round and its merging are written out, and only emptiness is asked for.
+    """
+    ends = (F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"))
+    left = cut(edges.where(F.col(src) != F.col(dst)).groupBy(*ends).agg(F.min(weight).alias("w")))
+    now, out = vertices.select(F.col(vertex).alias("id"), F.col(vertex).alias("label")), left.limit(0)
+    while True:
+        a, b = now.select(F.col("id").alias("src"), F.col("label").alias("__a")), now.select(F.col("id").alias("dst"), F.col("label").alias("__b"))
+        crossing = left.join(a, "src").join(b, "dst").where("__a <> __b")
+        edge = F.struct("w", "src", "dst", "__a", "__b")
+        picks = cut(crossing.select(F.explode(F.array("__a", "__b")).alias("tree"), edge.alias("edge")).groupBy("tree").agg(F.min("edge").alias("edge")).select("edge.*").distinct())
+        if picks.isEmpty():
+            return out
+        out = out.unionByName(picks.select("src", "dst", "w"))
+        trees = components(now.select(F.col("label").alias("id")).distinct(), picks, "id", "__a", "__b").select(F.col("id").alias("__old"), F.col("label").alias("__new"))
+        now = cut(now.join(trees, F.col("label") == F.col("__old")).select("id", F.col("__new").alias("label")))
+
+
 def ancestors(nodes: DataFrame, levels: int, node: str = "id", parent: str = "parent") -> DataFrame:
     """(node, ancestor, steps): every node with itself and those above it, up to `levels` steps; a root is its own parent."""
     up = nodes.where(F.col(node) != F.col(parent)).select(F.col(node).alias("__n"), F.col(parent).alias("__p"))
