@@ -242,6 +242,18 @@ def test_pieces_round_trip(spark, docs):
     assert back == dict(docs)
 
 
+def test_pieces_are_the_models_own(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    r = random.Random(11)
+    hard = ["  two  spaces ", " ", "\n\t x", "▁ literal", "committee approved" * 50, "委員会は承認した。" * 40, "émoji 😀\x00", "".join(r.choice("abcdetinors") for _ in range(5000)), "=" * 3000, "a" + " " * 300 + "b"]
+    texts = dict([*docs, *((-1 - k, t) for k, t in enumerate(hard))])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.id: x.ids for x in pieces.encode(rows, queries.PIECE_MODEL).collect()}
+    assert got == {d: model.encode(t) for d, t in texts.items()}
+
+
 def test_pii_links_and_validity(spark):
     card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
     rows = [(1, f"card {card} on 2020-02-29 from 192.168.1.7"), (2, f"again {card}, {iban}; 4111 1111 1111 1112 and 999.1.1.1"), (3, None)]

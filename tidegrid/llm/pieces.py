@@ -1,10 +1,11 @@
-"""Encoding into, and decoding from, the pieces of a SentencePiece model by a streaming Viterbi search."""
+"""Encoding into, and decoding from, the pieces of a SentencePiece model: by a streaming Viterbi search, or by the merges of a BPE model."""
 
 from __future__ import annotations
 
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import pyarrow as pa
@@ -19,6 +20,50 @@ CACHE_WORDS = 400_000
 #: Words longer than this are not remembered.
 CACHE_LENGTH = 64
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: In a model file: the fields of a piece and of the trainer's settings, a piece's type and the model's type, and the values of these.
+PIECE_FIELD, TRAINER_FIELD, KIND_FIELD, MODEL_FIELD = 1, 2, 3, 3
+USER_DEFINED, UNUSED, UNIGRAM, BPE = 4, 5, 1, 2
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            out |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return out
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def by_merges(model: bytes) -> bool:
+    """Whether a model file's pieces are merges of a BPE model rather than those of a unigram model."""
+    fields = list(_fields(model))
+    found = next((dict(_fields(x)).get(MODEL_FIELD, UNIGRAM) for k, x in fields if k == TRAINER_FIELD), UNIGRAM)
+    if found not in (UNIGRAM, BPE):
+        raise ValueError("the model must be a unigram or a BPE model")
+    if found == BPE and any(dict(_fields(x)).get(KIND_FIELD) in (USER_DEFINED, UNUSED) for k, x in fields if k == PIECE_FIELD):
+        raise ValueError("user-defined and unused pieces of a BPE model are not supported")
+    return found == BPE
+
+
+def load_model(model_path: str) -> tuple[list[tuple[str, float, str]], bool]:
+    """The table of load_table(), and whether the model encodes by merges."""
+    import sentencepiece
+
+    return load_table(model_path), by_merges(sentencepiece.SentencePieceProcessor(model_file=model_path).serialized_model_proto())
 
 
 def load_table(model_path: str) -> list[tuple[str, float, str]]:
@@ -33,8 +78,11 @@ def load_table(model_path: str) -> list[tuple[str, float, str]]:
 class Pieces:
     """The pieces of one model and the search over them."""
 
-    def __init__(self, table: list[tuple[str, float, str]]):
+    def __init__(self, table: list[tuple[str, float, str]], merges: bool = False):
         self.table = table
+        #: Whether texts are encoded by merges, as BPE models do, rather than by the largest sum of scores.
+        self.merges = merges
+        self.gains = {p: s for p, s, k in table if k == "normal"}
         self.ids = {p: (i, s) for i, (p, s, k) in enumerate(table) if k == "normal"}
         self.longest = max((len(p) for p in self.ids), default=1)
         #: The pieces as a tree: under each character, (what may follow, the ids of the piece that ends here or nothing, its score).
@@ -93,6 +141,58 @@ class Pieces:
                 held, best, back, ready = held[common:], best[common:], back[common:], ready - common
         yield from self.path(back, len(held))
 
+    def merged(self, chars: str) -> Iterator[int]:
+        """Ids by merges: of all neighbours that make a piece, those of the best score are joined first, of equal ones the leftmost."""
+        pairs, at = self.pairs, 0
+        # no piece holds two characters that are not in pairs, so nothing is joined across them
+        for k in range(1, len(chars) + 1):
+            if k == len(chars) or chars[k - 1 : k + 1] not in pairs:
+                for p in self.joined(chars[at:k]) if k - at > 1 else chars[at:k]:
+                    if p in self.ids:
+                        yield self.ids[p][0]
+                    else:
+                        yield from self.spelled(p)
+                at = k
+
+    def joined(self, chars: str) -> list[str]:
+        gains, none = self.gains, float("-inf")
+        parts = list(chars)
+        if len(parts) > CACHE_LENGTH:
+            return self.joined_long(parts)
+        scores = [gains.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = gains.get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = gains.get(parts[k] + parts[k + 1], none)
+        return parts
+
+    def joined_long(self, parts: list[str]) -> list[str]:
+        """As joined(), with the neighbours in a heap and the parts as a linked list: n log n for texts without spaces."""
+        gains, n = self.gains, len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-gains[p], k, p) for k in range(n - 1) if (p := parts[k] + parts[k + 1]) in gains]
+        heapify(heap)
+        while heap:
+            _, k, p = heappop(heap)
+            j = after[k]
+            # one of the two may have been joined to another since
+            if not parts[k] or j == n or parts[k] + parts[j] != p:
+                continue
+            parts[k], parts[j], after[k] = p, "", after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b < n and (q := parts[a] + parts[b]) in gains:
+                    heappush(heap, (-gains[q], a, q))
+        return [p for p in parts if p]
+
+    def search(self, chars: str) -> Iterator[int]:
+        return self.merged(chars) if self.merges else self.stream(chars)
+
     def spelled(self, c: str) -> tuple[int, ...]:
         """An unknown character as its bytes, or as the unknown id if the model has no bytes."""
         raw = c.encode("utf-8", "surrogatepass")
@@ -122,7 +222,7 @@ class Pieces:
         if not text:
             return b""
         if cache is None or self.crossing:
-            return array("i", self.stream(SPACE + text.replace(" ", SPACE))).tobytes()
+            return array("i", self.search(SPACE + text.replace(" ", SPACE))).tobytes()
         words = text.split(" ")
         if "" in words:
             # runs of spaces: no piece runs from other characters into a space, so paths meet before each run
@@ -158,19 +258,19 @@ class WordCache(dict):
 
     def search(self, word: str) -> bytes:
         if 2 < len(word) <= CACHE_LENGTH and word[-2:] not in self.pieces.pairs:
-            return self[word[:-1]] + array("i", self.pieces.stream(word[-1])).tobytes()
+            return self[word[:-1]] + array("i", self.pieces.search(word[-1])).tobytes()
         unit = word[1:] if word[:1] == "\0" and word[1:2] == SPACE else SPACE + word
-        return array("i", self.pieces.stream(unit)).tobytes()
+        return array("i", self.pieces.search(unit)).tobytes()
 
 
 _HELD: dict[str, tuple[Pieces, WordCache]] = {}
 
 
-def _held(name: str, table: list[tuple[str, float, str]]) -> tuple[Pieces, WordCache]:
+def _held(name: str, model: tuple[list[tuple[str, float, str]], bool]) -> tuple[Pieces, WordCache]:
     """One model and cache for a Python worker, however many tasks it runs."""
     if name not in _HELD:
         _HELD.clear()
-        pieces = Pieces(table)
+        pieces = Pieces(*model)
         _HELD[name] = pieces, WordCache(pieces)
     return _HELD[name]
 
@@ -178,15 +278,16 @@ def _held(name: str, table: list[tuple[str, float, str]]) -> tuple[Pieces, WordC
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_pieces, round_trip) for every row of docs.
 
-    Each text is searched whole, with a leading space and spaces as U+2581; other characters are taken
-    as they are, and one that no piece covers becomes its UTF-8 bytes. round_trip says whether decoding
+    A unigram model's texts get the pieces of the largest sum of scores, a BPE model's those that its
+    merges make. Each text is searched whole, with a leading space and spaces as U+2581; other characters
+    are taken as they are, and one that no piece covers becomes its UTF-8 bytes. round_trip says whether decoding
     the ids gives the text. Null and empty texts have no ids. Rows with a null id and repeated rows are
     kept. An empty table gives no rows. Other columns are ignored.
     """
-    table = docs.sparkSession.sparkContext.broadcast(load_table(model_path))
+    model = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = _held(model_path, table.value)
+        pieces, cache = _held(model_path, model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -208,10 +309,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text) from ids; null ids give a null text, no ids an empty one."""
-    table = rows.sparkSession.sparkContext.broadcast(load_table(model_path))
+    model = rows.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, _ = _held(model_path, table.value)
+        pieces, _ = _held(model_path, model.value)
         for batch in batches:
             texts = [None if x is None else pieces.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
