@@ -1,7 +1,10 @@
 """The pipeline's stages against what they should do to their own input."""
 
+import random
+
 import corpus_pipeline
-from tidegrid.llm import queries
+import pytest
+from tidegrid.llm import queries, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,40 @@ def test_run_is_registered():
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert {k.split("_")[0] for k in queries.queries()} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_near_dedup_removes_near_copies(spark):
+    r = random.Random(4)
+    texts = {i: " ".join(f"w{r.randrange(5000)}" for _ in range(300)) for i in range(20)}
+    for i in range(20):
+        # ten words replaced far apart spoil 50 of 296 shingles at most, a Jaccard index of 0.71; five leave 0.84
+        for n, far in ((5, 100), (10, 200)):
+            words = texts[i].split()
+            for k in range(n):
+                words[25 * k + 10] = f"new{far}-{i}-{k}"
+            texts[far + i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert got == set(texts) - set(range(100, 120))
+
+
+@pytest.mark.parametrize("group", [24, 4])
+def test_near_copies_against_brute_force(spark, group):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null").select("doc_id", "text")
+    sets = {x.doc_id: frozenset(shingles.shingle_set(x.text).tolist()) for x in rows.collect()}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids, n = sorted(sets), 0
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                n += x != y
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x.id: x.component for x in shingles.near_copies(rows, group=group).collect()}
+    assert n > 5 and got == {d: find(d) for d in ids}
