@@ -287,6 +287,51 @@ def test_license_rules_are_ordered(spark):
     assert got == {1: ["AB"], 2: []}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """# This program is free software{mark} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{comma} either version {n} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+
+
+def test_licenses_in_public_texts(spark):
+    gpl3, gpl2 = GPL.format(mark=":", comma=",", n=3), GPL.format(mark=";", comma=";", n=2)
+    mpl = 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.'
+    split = "Licensed under the\n\nMIT License."
+    texts = {1: MIT, 2: BSD, 3: gpl3, 4: gpl2, 5: gpl3.replace("\n# ", " "), 6: mpl, 7: MIT.replace("\n", "\r\n"), 8: "Not licensed under the MIT License.", 9: split}
+    got = {r.id: list(r.licenses) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: ["GPL-3.0-or-later"], 4: ["GPL-2.0-or-later"], 5: ["GPL-3.0-or-later"], 6: ["MPL-2.0"], 7: ["MIT"], 8: [], 9: []}
+
+
 def test_quality_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

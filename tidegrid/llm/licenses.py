@@ -52,22 +52,28 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MPL-2.0", ("mpl2-notice",)),
 ]
-#: Ends of sentences: a line break, or . ! ? ; : before white space.
-SENTENCE_END = r"\n+|[.!?;:]+\s+"
+#: Ends of paragraphs, and places where a sentence may end or run on: a line break, or . ! ? ; : before white space.
+PARAGRAPH_END, BREAK = r"\n\s*\n", r"\n|[.!?;:]+(?=\s)"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked_words(text: Column) -> Column:
+    """The words (a-z and 0-9, lower case) of a text, each after a space, with H where a paragraph and S where perhaps a sentence ends."""
+    parts = F.regexp_replace(F.regexp_replace(F.lower(text), PARAGRAPH_END, " H "), BREAK, " S ")
+    return F.regexp_replace(F.concat(F.lit(" H "), parts, F.lit(" H ")), "[^a-z0-9HS]+", " ")
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str, known: dict[str, str]) -> DataFrame:
-    """(id, at, sentence_id) of the known licence sentences; the dictionary is fixed, so it is broadcast."""
-    spark = docs.sparkSession
-    names = spark.createDataFrame([(k, v) for k, v in known.items()], "sentence_id string, sentence string")
-    lengths = sorted(len(v) for v in known.values())
-    # a sentence much longer or shorter than any known one, before it is normalised, need not be normalised
-    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), SENTENCE_END)).alias("at", "raw")).where(F.length("raw") >= lengths[0])
-    return parts.select("id", "at", normalised(F.col("raw")).alias("sentence")).join(F.broadcast(names), "sentence").select("id", "at", "sentence_id")
+    """(id, at, sentence_id) of the known licence sentences, the longest at each place; at counts them within a text.
+
+    A sentence begins and ends at a break, and may run over breaks within its paragraph: over the ends of
+    wrapped lines, and over marks like those in "free software: you" or "v. 2.0".
+    """
+    longest = sorted(known.items(), key=lambda x: -len(x[1]))
+    either = "|".join("(?: S)*+ ".join(v.split()) for _, v in longest)
+    names = F.create_map(*[F.lit(x) for k, v in longest for x in (v, k)])
+    hits = F.regexp_extract_all(marked_words(text_or_empty(text_col)), F.lit(f"(?<=[HS]) (?:{either})(?= [HS])"), F.lit(0))
+    found = docs.select(F.col(id_col).alias("id"), F.posexplode(hits).alias("at", "raw"))
+    return found.select("id", "at", F.element_at(names, F.trim(F.replace("raw", F.lit(" S"), F.lit("")))).alias("sentence_id"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules: list[tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
