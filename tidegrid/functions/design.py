@@ -111,4 +111,4 @@ def positive_reciprocal(x: Column) -> Column:
 
 
 def percent_change(y: Column, mean: Column) -> Column:
-    return 100 * (y / mean - 1)
+    return 100 * (F.try_divide(y, mean) - 1)

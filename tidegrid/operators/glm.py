@@ -12,21 +12,25 @@ from .grid import cut
 
 
 def simple_ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, n, slope, intercept, s2, sxx, t_slope) of y on [1, x] for every unit, in one aggregation."""
+    """(by, n, slope, intercept, s2, sxx, t_slope) of y on [1, x] for every unit, in one aggregation; null where a unit has too few rows or a constant x."""
     sums = df.groupBy(*by).agg(
         F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy")
     )
-    s2 = F.greatest(F.col("syy") - F.col("slope") ** 2 * F.col("sxx"), F.lit(0.0)) / (F.col("n") - 2)
-    return sums.withColumn("s2", s2).select(*by, "n", "slope", "intercept", "s2", "sxx", (F.col("slope") / F.sqrt(F.col("s2") / F.col("sxx"))).alias("t_slope"))
+    s2 = F.try_divide(F.greatest(F.col("syy") - F.col("slope") ** 2 * F.col("sxx"), F.lit(0.0)), F.col("n") - 2)
+    return sums.withColumn("s2", s2).select(*by, "n", "slope", "intercept", "s2", "sxx", F.try_divide(F.col("slope"), F.sqrt(F.try_divide("s2", "sxx"))).alias("t_slope"))
 
 
 def solve_symmetric(a: list[list[Column]], b: list[Column]) -> list[Column]:
-    """Gaussian elimination over columns, without pivoting: for the positive definite normal equations of few predictors."""
+    """Gaussian elimination over columns, for the positive definite normal equations of few predictors.
+
+    A pivot that elimination has brought below 1e-11 of its diagonal shows a collinear predictor: all coefficients are null.
+    """
     n = len(b)
-    a, b = [row[:] for row in a], b[:]
+    a, b, own = [row[:] for row in a], b[:], [a[k][k] for k in range(len(b))]
+    fit = lambda k: F.when(a[k][k] > 1e-11 * own[k], a[k][k])
     for k in range(n):
         for i in range(k + 1, n):
-            f = a[i][k] / a[k][k]
+            f = a[i][k] / fit(k)
             a[i] = [a[i][j] - f * a[k][j] if j > k else F.lit(0.0) for j in range(n)]
             b[i] = b[i] - f * b[k]
     out: list[Column] = [F.lit(0.0)] * n
@@ -34,7 +38,7 @@ def solve_symmetric(a: list[list[Column]], b: list[Column]) -> list[Column]:
         rest = b[i]
         for j in range(i + 1, n):
             rest = rest - a[i][j] * out[j]
-        out[i] = rest / a[i][i]
+        out[i] = rest / fit(i)
     return out
 
 
@@ -45,7 +49,7 @@ def ols(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, weight: str
     """
     by, names = list(by), [*xs, y]
     w = F.col(weight) if weight else F.lit(1.0)
-    means = df.groupBy(*by).agg(F.count("*").alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"__m_{c}") for c in names])
+    means = df.groupBy(*by).agg(F.count("*").alias("n"), *[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"__m_{c}") for c in names])
     centred = df.join(means, by) if by else df.join(F.broadcast(means))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     d = lambda c: F.col(c) - F.col(f"__m_{c}")
@@ -70,7 +74,7 @@ def residuals(df: DataFrame, by: Sequence[str], fit: DataFrame, xs: Sequence[str
 def ar1(df: DataFrame, by: Sequence[str], t: str, r: str) -> DataFrame:
     """(by, rho): lag-one autocorrelation of residuals, sum r(t) r(t-1) / sum r(t)^2."""
     lagged = df.withColumn("__lag", F.lag(r).over(Window.partitionBy(*by).orderBy(t)))
-    return lagged.groupBy(*by).agg((F.sum(F.col(r) * F.col("__lag")) / F.sum(F.pow(r, 2))).alias("rho"))
+    return lagged.groupBy(*by).agg(F.try_divide(F.sum(F.col(r) * F.col("__lag")), F.sum(F.pow(r, 2))).alias("rho"))
 
 
 def ar1_bin(rho: Column, steps: int = 100) -> Column:
@@ -129,7 +133,7 @@ def irls(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, family: st
         mu = 1 / (1 + F.exp(-eta)) if family == "binomial" else F.exp(eta)
         held = rows.join(now, by).select("*", eta.alias("__eta"), mu.alias("__mu"))
         held = held.withColumn("__w", F.col("__mu") * (1 - F.col("__mu")) if family == "binomial" else F.col("__mu"))
-        z, size = F.col("__eta") + (F.col(y) - F.col("__mu")) / F.col("__w"), range(len(names))
+        z, size = F.col("__eta") + F.try_divide(F.col(y) - F.col("__mu"), F.col("__w")), range(len(names))
         sums = held.groupBy(*by).agg(
             *[F.sum(F.col("__w") * value[i] * value[j]).alias(f"__s{i}_{j}") for i in size for j in size if i <= j], *[F.sum(F.col("__w") * value[i] * z).alias(f"__z{i}") for i in size]
         )

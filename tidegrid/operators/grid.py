@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .components import connected_components
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder of spark.checkpoint.dir; where that is unset and Spark is local, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    """df with its lineage cut, and its size estimate with it, through a table in the shared folder."""
+    return stored(df, "cut")
 
 
 def offsets(dims: int, reach: int = 1) -> list[tuple[int, ...]]:
@@ -50,21 +47,9 @@ def diffusion(cells: DataFrame, at: Sequence[str], value: str, reach: int = 1) -
 
 
 def components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
-    """(vertex, label): label is the least vertex of its component.
-
-    Every round gives each vertex the least label among its neighbours, then that label's own label.
-    Labels fall until a round changes none; only a count comes to the driver.
-    """
-    both = cut(edges.select(F.col(src).alias("__a"), F.col(dst).alias("__b")).union(edges.select(dst, src)).distinct())
-    now = vertices.select(F.col(vertex), F.col(vertex).alias("label"))
-    while True:
-        near = both.join(now.withColumnRenamed(vertex, "__a"), "__a").groupBy("__b").agg(F.min("label").alias("__low"))
-        low = now.join(near, F.col(vertex) == F.col("__b"), "left").select(vertex, F.col("label").alias("__old"), F.least("label", F.coalesce("__low", "label")).alias("label"))
-        jump = low.select(F.col(vertex).alias("__v"), F.col("label").alias("__next"))
-        now = cut(low.join(jump, F.col("label") == F.col("__v"), "left").select(vertex, F.least("label", F.coalesce("__next", "label")).alias("label"), "__old"))
-        if not now.where("label <> __old").limit(1).count():
-            return now.select(vertex, "label")
-        now = now.drop("__old")
+    """(vertex, label): label is the least vertex of its component, by star contraction; a vertex without edges is its own."""
+    found = connected_components(edges, src, dst)
+    return vertices.select(vertex).distinct().join(found, F.col(vertex) == F.col("node"), "left").select(vertex, F.coalesce("component", vertex).alias("label"))
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
@@ -80,48 +65,86 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, vertex: str = "id", src:
     return best
 
 
-def spanning_forest(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
+def spanning_forest(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
     """(src, dst, w), src < dst: the edges of a minimum spanning forest; of equal weights the least (src, dst) goes first.
 
-    Every round each tree takes its least edge to another tree, and trees so joined become one, which at
-    least halves their number. Each round and its merging are written out, and only emptiness is asked for.
+    Every round each tree takes its least edge to another tree. These picks are a pointer forest once
+    the smaller of two trees that picked each other stays, and pointer jumping joins the trees, which
+    at least halves their number. Only edges between different trees go into the next round. Rounds
+    are written out, and only emptiness is asked for. Self-loops are ignored.
     """
     ends = (F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"))
-    left = cut(edges.where(F.col(src) != F.col(dst)).groupBy(*ends).agg(F.min(weight).alias("w")))
-    now, out = vertices.select(F.col(vertex).alias("id"), F.col(vertex).alias("label")), left.limit(0)
+    left = edges.where(F.col(src) != F.col(dst)).groupBy(*ends).agg(F.min(weight).alias("w"))
+    left, out = stored(left.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")), "forest-edges"), None
     while True:
-        a, b = now.select(F.col("id").alias("src"), F.col("label").alias("__a")), now.select(F.col("id").alias("dst"), F.col("label").alias("__b"))
-        crossing = left.join(a, "src").join(b, "dst").where("__a <> __b")
-        edge = F.struct("w", "src", "dst", "__a", "__b")
-        picks = cut(crossing.select(F.explode(F.array("__a", "__b")).alias("tree"), edge.alias("edge")).groupBy("tree").agg(F.min("edge").alias("edge")).select("edge.*").distinct())
+        side = lambda t, o: F.struct(F.col(t).alias("tree"), F.struct("w", "src", "dst", F.col(o).alias("other")).alias("pick"))
+        picks = left.select(F.inline(F.array(side("a", "b"), side("b", "a")))).groupBy("tree").agg(F.min("pick").alias("pick")).select("tree", "pick.*")
+        picks = stored(picks, "forest-picks")
+        found = picks.select("src", "dst", "w").distinct()
+        out = found if out is None else out.unionByName(found)
         if picks.isEmpty():
             return out
-        out = out.unionByName(picks.select("src", "dst", "w"))
-        trees = components(now.select(F.col("label").alias("id")).distinct(), picks, "id", "__a", "__b").select(F.col("id").alias("__old"), F.col("label").alias("__new"))
-        now = cut(now.join(trees, F.col("label") == F.col("__old")).select("id", F.col("__new").alias("label")))
-
-
-def ancestors(nodes: DataFrame, levels: int, node: str = "id", parent: str = "parent") -> DataFrame:
-    """(node, ancestor, steps): every node with itself and those above it, up to `levels` steps; a root is its own parent."""
-    up = nodes.where(F.col(node) != F.col(parent)).select(F.col(node).alias("__n"), F.col(parent).alias("__p"))
-    now = nodes.select(node, F.col(node).alias("ancestor"), F.lit(0).alias("steps"))
-    out = now
-    for k in range(1, levels + 1):
-        now = now.join(up, F.col("ancestor") == F.col("__n")).select(node, F.col("__p").alias("ancestor"), F.lit(k).alias("steps"))
-        out = out.union(now)
+        back = picks.select(F.col("tree").alias("other"), F.col("other").alias("theirs"))
+        to = picks.join(back, "other").select("tree", F.when((F.col("theirs") == F.col("tree")) & (F.col("tree") < F.col("other")), F.col("tree")).otherwise(F.col("other")).alias("root"))
+        roots = pointer_roots(to)
+        end = lambda t: roots.select(F.col("tree").alias(t), F.col("root").alias(f"{t}_root"))
+        left = left.join(end("a"), "a").join(end("b"), "b").where("a_root <> b_root")
+        left = stored(left.select("src", "dst", "w", F.col("a_root").alias("a"), F.col("b_root").alias("b")), "forest-edges")
+
+
+def pointer_roots(to: DataFrame, node: str = "tree", root: str = "root") -> DataFrame:
+    """(node, root) of a pointer forest in which roots point to themselves, by pointer jumping: rounds are the logarithm of its depth."""
+    now = stored(to.select(node, root), "pointers")
+    while True:
+        up = now.select(F.col(node).alias("__n"), F.col(root).alias("__r"))
+        moved = stored(now.join(up, F.col(root) == F.col("__n")).select(node, F.col("__r").alias(root), (F.col("__r") != F.col(root)).alias("__moved")), "pointers")
+        now = moved.drop("__moved")
+        if moved.where("__moved").isEmpty():
+            return now
+
+
+def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, steps): every node with itself and all those above it; a root is its own parent.
+
+    Jumps of 1, 2, 4, ... steps are joined to what was found before, so the rounds are the logarithm of the depth.
+    """
+    jump = nodes.where(F.col(node) != F.col(parent)).select(F.col(node).alias("__n"), F.col(parent).alias("__p"))
+    out, size = nodes.select(node, F.col(node).alias("ancestor"), F.lit(0).alias("steps")), 1
+    while not jump.isEmpty():
+        further = out.join(jump, F.col("ancestor") == F.col("__n")).select(node, F.col("__p").alias("ancestor"), (F.col("steps") + size).alias("steps"))
+        out = stored(out.union(further), "ancestors")
+        jump = stored(jump.join(jump.select(F.col("__n").alias("__p"), F.col("__p").alias("__q")), "__p").select("__n", F.col("__q").alias("__p")), "jumps")
+        size *= 2
     return out
 
 
+#: Points that a task meets with one block of others at most, in a join of vectors.
+VECTOR_BLOCK = 4_000
+#: Points, the least by node, whose distances to the others bound the distances of pairs.
+PIVOTS = 6
+
+
 def eps_graph(points: DataFrame, eps: float, node: str, vector: str) -> DataFrame:
     """(src, dst, w), src < dst, of points less than eps apart.
 
-    Points meet only when their distances to the origin, which differ by less than eps if theirs is,
-    fall into the same or neighbouring bands of that width: an equi-join on the band, then the distance itself.
+    Distances to the origin and to a few pivots differ by less than eps if a pair's distance does. The
+    one with the widest spread gives bands of width eps, an equi-join on same or neighbouring bands;
+    the others drop pairs before their distance is taken. Bands of many points are split into blocks
+    that meet the band apart, so no task holds a whole band. Where eps is as wide as the spread, as
+    for unit vectors, no band prunes and the work is that of all pairs, spread over the blocks.
     """
+    held = [r[vector] for r in points.orderBy(node).limit(PIVOTS).select(vector).collect()]
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    banded = points.select(node, vector, F.floor(norm / eps).alias("__band"))
-    other = banded.select(F.col(node).alias("dst"), F.col(vector).alias("__w"), F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"))
-    met = banded.join(other, "__band").where(F.col(node) < F.col("dst"))
+    marks = F.array(norm, *[distance(F.col(vector), F.array(*[F.lit(float(x)) for x in p])) for p in held])
+    marked = points.select(node, vector, marks.alias("__d"))
+    spread = marked.agg(F.count("*").alias("n"), *[F.coalesce(F.stddev_pop(F.col("__d")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(held) + 1)]).first()
+    key = max(range(len(held) + 1), key=lambda k: spread[f"s{k}"])
+    blocks = max(1, math.ceil(spread["n"] / VECTOR_BLOCK))
+    banded = marked.withColumn("__band", F.floor(F.col("__d")[key] / eps)).withColumn("__block", F.pmod(F.xxhash64(node), F.lit(blocks)))
+    near = F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1))
+    other = banded.select(F.col(node).alias("dst"), F.col(vector).alias("__w"), F.col("__d").alias("__e"), near.alias("__band")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = banded.join(other, ["__band", "__block"]).where(F.col(node) < F.col("dst"))
+    met = met.where(F.forall(F.zip_with("__d", "__e", lambda x, y: F.abs(x - y)), lambda x: x < eps))
     return met.select(F.col(node).alias("src"), "dst", distance(F.col(vector), F.col("__w")).alias("w")).where(F.col("w") < eps)
 
 
@@ -171,7 +194,7 @@ def joint_histogram(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def similarity(hist: DataFrame, a: str, b: str) -> DataFrame:
-    """(mi, nmi, cc2, cr): mutual information, its normalised form, squared correlation and correlation ratio of b given a, of a joint histogram."""
+    """(mi, nmi, cc2, cr): mutual information, its normalised form, squared correlation and correlation ratio of b given a, of a joint histogram; null where a variable is constant."""
     total = F.broadcast(hist.agg(F.sum("n").alias("__n")))
     pa = hist.groupBy(a).agg(F.sum("n").alias("__na"), (F.sum(F.col("n") * F.col(b)) / F.sum("n")).alias("__mb"))
     pb = hist.groupBy(b).agg(F.sum("n").alias("__nb"))
@@ -183,12 +206,13 @@ def similarity(hist: DataFrame, a: str, b: str) -> DataFrame:
         F.sum(p * F.col(a)).alias("ma"), F.sum(p * F.col(b)).alias("mb"), F.sum(p * F.col(a) * F.col(a)).alias("aa"), F.sum(p * F.col(b) * F.col(b)).alias("bb"), F.sum(p * F.col(a) * F.col(b)).alias("ab"), F.sum(p * F.col("__mb") * F.col("__mb")).alias("between"),
     )
     va, vb = F.col("aa") - F.pow("ma", 2), F.col("bb") - F.pow("mb", 2)
-    return s.select("mi", ((F.col("ha") + F.col("hb")) / F.col("hab")).alias("nmi"), (F.pow(F.col("ab") - F.col("ma") * F.col("mb"), 2) / va / vb).alias("cc2"), ((F.col("between") - F.pow("mb", 2)) / vb).alias("cr"))
+    div = F.try_divide
+    return s.select("mi", div(F.col("ha") + F.col("hb"), F.col("hab")).alias("nmi"), div(F.pow(F.col("ab") - F.col("ma") * F.col("mb"), 2), va * vb).alias("cc2"), div(F.col("between") - F.pow("mb", 2), vb).alias("cr"))
 
 
 def sign_flip_max_t(df: DataFrame, unit: str, subject: str, y: str, flips: Sequence[int]) -> DataFrame:
     """(flip, max_t): largest t over units after the subjects' signs are set by the bits of each flip; subjects count from 0."""
     each = df.withColumn("flip", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])))
     sign = F.when(F.call_function("shiftright", F.col("flip"), F.col(subject).cast("int")).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
-    t = each.groupBy("flip", unit).agg((F.avg(sign * F.col(y)) / F.stddev_pop(sign * F.col(y)) * F.sqrt(F.count("*") - 1)).alias("t"))
+    t = each.groupBy("flip", unit).agg(F.try_divide(F.avg(sign * F.col(y)) * F.sqrt(F.count("*") - 1), F.stddev_pop(sign * F.col(y))).alias("t"))
     return t.groupBy("flip").agg(F.max("t").alias("max_t"))

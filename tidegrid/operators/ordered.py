@@ -150,8 +150,10 @@ def boxcar(events: DataFrame, grid: DataFrame, by: Sequence[str], onset: str, of
     on = events.groupBy(*by, F.col(onset).alias(t)).agg(F.max(amplitude).alias("__d"))
     off = events.groupBy(*by, F.col(offset).alias(t)).agg(F.max(amplitude).alias("__d")).withColumn("__d", -F.col("__d"))
     changes = on.union(off).groupBy(*by, t).agg(F.sum("__d").alias("__d"))
+    # a switch at a time that the grid lacks still counts at the grid's later times
+    both = changes.withColumn("__on_grid", F.lit(False)).unionByName(grid.select(*by, t).withColumn("__d", F.lit(0.0)).withColumn("__on_grid", F.lit(True)))
     w = Window.partitionBy(*by).orderBy(t)
-    return grid.join(changes, [*by, t], "left").withColumn("level", F.sum(F.coalesce("__d", F.lit(0.0))).over(w)).drop("__d")
+    return both.withColumn("level", F.sum("__d").over(w)).where("__on_grid").select(*by, t, "level")
 
 
 def whiten(df: DataFrame, by: Sequence[str], t: str, y: str, rho: str) -> DataFrame:

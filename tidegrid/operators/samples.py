@@ -23,7 +23,7 @@ def student(df: DataFrame, by: Sequence[str], x: str, base: float = 0.0) -> Data
 
 
 def _deviance(sign: Column, n: Column, s0: Column, s: Column) -> Column:
-    ratio = F.sqrt(2 * n * F.log(F.greatest(s0, s) / s))
+    ratio = F.sqrt(2 * n * F.log(F.try_divide(F.greatest(s0, s), s)))
     return F.when(sign == 0, 0.0).when(s == 0, F.signum(sign) * F.lit(float("inf"))).otherwise(F.signum(sign) * ratio)
 
 
@@ -56,9 +56,9 @@ def wilcoxon(df: DataFrame, by: Sequence[str], x: str, base: float = 0.0, tie: S
 
 
 def grubb(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """(by, grubb): largest |x - mean| over the population std, from the extremes alone."""
+    """(by, grubb): largest |x - mean| over the population std, from the extremes alone; 0 for a constant unit."""
     far = F.greatest(F.col("max") - F.col("mean"), F.col("mean") - F.col("min"))
-    return moments(df, by, x).select(*by, (far / F.col("std")).alias("grubb"))
+    return moments(df, by, x).select(*by, F.when(F.col("std") == 0, 0.0).otherwise(F.try_divide(far, F.col("std"))).alias("grubb"))
 
 
 def mad(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
@@ -70,22 +70,29 @@ def mad(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 
 
 def weighted_mean(df: DataFrame, by: Sequence[str], y: str, sd: str) -> DataFrame:
-    """(by, mean, scale, sd, t): inverse-variance weighted mean; scale is the mean squared weighted residual over n - 1."""
-    w = 1 / F.pow(sd, 2)
+    """(by, mean, scale, sd, t): inverse-variance weighted mean; scale is the mean squared weighted residual over n - 1.
+
+    A row without variance has no weight, as in pos_recipr; a unit without weights, or of one row, has nulls.
+    """
+    w = F.when(F.col(sd) > 0, F.try_divide(F.lit(1.0), F.pow(sd, 2))).otherwise(0.0)
     s = df.groupBy(*by).agg(F.count(y).alias("n"), F.sum(w).alias("sw"), F.sum(w * F.col(y)).alias("swy"), F.sum(w * F.pow(y, 2)).alias("swyy"))
-    s = s.withColumn("mean", F.col("swy") / F.col("sw"))
-    s = s.withColumn("scale", (F.col("swyy") - F.col("mean") * F.col("swy")) / (F.col("n") - 1)).withColumn("sd", F.sqrt(F.col("scale") / F.col("sw")))
-    return s.select(*by, "mean", "scale", "sd", (F.col("mean") / F.col("sd")).alias("t"))
+    s = s.withColumn("mean", F.try_divide("swy", "sw"))
+    s = s.withColumn("scale", F.try_divide(F.col("swyy") - F.col("mean") * F.col("swy"), F.col("n") - 1)).withColumn("sd", F.sqrt(F.try_divide("scale", "sw")))
+    return s.select(*by, "mean", "scale", "sd", F.try_divide("mean", "sd").alias("t"))
 
 
 def two_sample(df: DataFrame, by: Sequence[str], x: str, first: Column, scaled: bool = False) -> DataFrame:
-    """(by, t): difference of the means over the pooled sd; scaled also divides by sqrt(1/n1 + 1/n2)."""
+    """(by, t): difference of the means over the pooled sd; scaled also divides by sqrt(1/n1 + 1/n2).
+
+    Without spread t is 0 for equal means and infinite otherwise; with a sample missing it is null.
+    """
     a, b = F.when(first, F.col(x)), F.when(~first, F.col(x))
     s = df.groupBy(*by).agg(*[f(v).alias(f"{k}{i}") for i, v in ((1, a), (2, b)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))])
     n1, n2 = F.col("n1"), F.col("n2")
-    pooled = F.sqrt((n1 * F.col("v1") + n2 * F.col("v2")) / (n1 + n2 - 2))
-    t = (F.col("m1") - F.col("m2")) / pooled
-    return s.select(*by, (t / F.sqrt(1 / n1 + 1 / n2) if scaled else t).alias("t"))
+    pooled = F.sqrt(F.try_divide(n1 * F.col("v1") + n2 * F.col("v2"), n1 + n2 - 2))
+    gap = F.col("m1") - F.col("m2")
+    t = F.when(gap == 0, 0.0).when(pooled == 0, F.signum(gap) * F.lit(float("inf"))).otherwise(F.try_divide(gap, pooled))
+    return s.select(*by, (t / F.sqrt(F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)) if scaled else t).alias("t"))
 
 
 def two_sample_wilcoxon(df: DataFrame, by: Sequence[str], x: str, first: Column) -> DataFrame:
@@ -98,7 +105,7 @@ def two_sample_wilcoxon(df: DataFrame, by: Sequence[str], x: str, first: Column)
     mid = F.col("upto") - (F.col("a") + F.col("b") - 1) / 2
     total = ties.groupBy(*by).agg(F.sum(F.col("a") * mid).alias("rs")).join(sizes, list(by)) if by else ties.agg(F.sum(F.col("a") * mid).alias("rs")).join(F.broadcast(sizes))
     u = F.col("rs") - F.col("na") * (F.col("na") + 1) / 2
-    return total.select(*by, ((2 * u - F.col("na") * F.col("nb")) / F.col("nb")).alias("wilcoxon"))
+    return total.select(*by, F.try_divide(2 * u - F.col("na") * F.col("nb"), F.col("nb")).alias("wilcoxon"))
 
 
 def smoothed_histogram(df: DataFrame, x: str, low: float, high: float, bins: int, sd_bins: float) -> DataFrame:
@@ -113,7 +120,7 @@ def smoothed_histogram(df: DataFrame, x: str, low: float, high: float, bins: int
 
 
 def mixed_effects(df: DataFrame, by: Sequence[str], y: str, v: str, rounds: int = 5) -> DataFrame:
-    """(by, mean, s2, ll_gain): EM for y = mean + N(0, s2 + v), a fixed number of rounds from the mean and population variance.
+    """(by, mean, s2): EM for y = mean + N(0, s2 + v), a fixed number of rounds from the mean and population variance.
 
     A round aggregates each unit once: posterior means (v mean + s2 y) / (s2 + v) and variances s2 v / (s2 + v).
     """
@@ -121,8 +128,9 @@ def mixed_effects(df: DataFrame, by: Sequence[str], y: str, v: str, rounds: int
     now = df.groupBy(*by).agg(F.avg(y).alias("mean"), F.var_pop(y).alias("s2"))
     for _ in range(rounds):
         e = df.select(*by, y, v).join(now, by)
-        post = (F.col(v) * F.col("mean") + F.col("s2") * F.col(y)) / (F.col("s2") + F.col(v))
-        var = F.col("s2") * F.col(v) / (F.col("s2") + F.col(v))
+        # without any variance the posterior is the value itself
+        post = F.coalesce(F.try_divide(F.col(v) * F.col("mean") + F.col("s2") * F.col(y), F.col("s2") + F.col(v)), F.col(y))
+        var = F.coalesce(F.try_divide(F.col("s2") * F.col(v), F.col("s2") + F.col(v)), F.lit(0.0))
         sums = e.groupBy(*by).agg(F.avg(post).alias("mean"), F.avg(post * post + var).alias("__m2"))
         now = sums.select(*by, "mean", (F.col("__m2") - F.pow("mean", 2)).alias("s2"))
     return now

@@ -56,8 +56,13 @@ def irls_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _irls(spark, sf_dir, F.round(F.col("l_discount") * 100), "poisson")
 
 
-@query("spanning_forest")
+#: An edge is in the forest unless edges before it in the order already join its ends.
+@query(
+    "spanning_forest",
+    """with recursive e as (select row_number() over (order by w, src, dst) as k, * from (select a.vec_id as src, b.vec_id as dst, list_distance(a.embedding::double[], b.embedding::double[]) as w from embeddings a join embeddings b on a.vec_id < b.vec_id) where w < 1.2),
+    b as (select k, src, dst from e union all select k, dst, src from e), r as (select k, src as at from e union select r.k, b.dst from r join b on b.src = r.at and b.k < r.k)
+    select src, dst, round(w, 5) as w from e where not exists (select 1 from r where r.k = e.k and r.at = e.dst)""",
+)
 def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    edges = grid.eps_graph(points, 1.2, "vec_id", "embedding")
-    return rounded(grid.spanning_forest(points.select(F.col("vec_id").alias("id")), edges), "w", places=5)
+    return rounded(grid.spanning_forest(grid.eps_graph(points, 1.2, "vec_id", "embedding")), "w", places=5)

@@ -119,7 +119,7 @@ def block_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     "boxcar_cumsum",
     """with e as (select user_id % 20 as unit, cast(floor(epoch(ts) / 3600) as bigint) as t, value from events),
     c as (select unit, t, max(value) as d from e group by 1, 2 union all select unit, t + 3, -max(value) from e group by 1, 2), s as (select unit, t, sum(d) as d from c group by 1, 2),
-    g as (select distinct unit, t from e) select g.unit, g.t, round(sum(coalesce(d, 0)) over (partition by g.unit order by g.t), 4) as level from g left join s on g.unit = s.unit and g.t = s.t""",
+    g as (select distinct unit, t from e) select g.unit, g.t, round((select sum(d) from s where s.unit = g.unit and s.t <= g.t), 4) as level from g""",
 )
 def boxcar_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("unit"), F.floor(epoch_s("ts") / 3600).cast("long").alias("t"), "value").withColumn("end", F.col("t") + 3)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid
+from ..operators.ordered import quantile
 from ..sources.tables import table
 from .registry import query
 from .sampling import rounded
@@ -53,7 +54,7 @@ HIGH = f"{CELLS}, h as (select i, j, i * 100 + j as id from g where v > (select
 
 def high_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = cells(spark, sf_dir)
-    h = c.join(F.broadcast(c.agg(F.median("v").alias("m")))).where("v > m").select("i", "j", (F.col("i") * 100 + F.col("j")).cast("long").alias("id"))
+    h = c.join(F.broadcast(quantile(c, [], "v", 0.5, name="m"))).where("v > m").select("i", "j", (F.col("i") * 100 + F.col("j")).cast("long").alias("id"))
     return h, grid.neighbours(h, ["i", "j"], "id").select((F.col("i") * 100 + F.col("j")).cast("long").alias("src"), F.col("neighbour").alias("dst"), F.lit(1.0).alias("w"))
 
 
@@ -85,13 +86,13 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("forest_depth", f"with recursive {TREE}, r as (select id, 0 as depth from t where id = parent union all select t.id, r.depth + 1 from t join r on t.parent = r.id and t.id <> t.parent) select id, depth from r")
 def forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.ancestors(tree(spark, sf_dir), 2).groupBy("id").agg(F.max("steps").alias("depth"))
+    return grid.ancestors(tree(spark, sf_dir)).groupBy("id").agg(F.max("steps").alias("depth"))
 
 
 @query("subtree_sum", f"with recursive {TREE}, r as (select id, id as ancestor, v from t union all select r.id, t.parent, r.v from r join t on t.id = r.ancestor and t.id <> t.parent) select ancestor as id, round(sum(v), 2) as v from r group by 1")
 def subtree_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
-    return grid.ancestors(t.select("id", "parent"), 2).join(t.select("id", "v"), "id").groupBy(F.col("ancestor").alias("id")).agg(F.round(F.sum("v"), 2).alias("v"))
+    return grid.ancestors(t.select("id", "parent")).join(t.select("id", "v"), "id").groupBy(F.col("ancestor").alias("id")).agg(F.round(F.sum("v"), 2).alias("v"))
 
 
 @query("eps_graph", "select a.vec_id as src, b.vec_id as dst, round(list_distance(a.embedding::double[], b.embedding::double[]), 5) as w from embeddings a join embeddings b on a.vec_id < b.vec_id where list_distance(a.embedding::double[], b.embedding::double[]) < 1.2")
@@ -107,7 +108,17 @@ def voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", grid.nearest(F.col("embedding"), centres)["index"].alias("label"))
 
 
-@query("kmeans_fixed_init")
+def _lloyd_sql(rounds: int = 5) -> str:
+    parts = ["v as (select vec_id, embedding::double[] as e from embeddings)", "c0 as (select row_number() over (order by vec_id) - 1 as k, e as c from v order by vec_id limit 5)"]
+    label = "l{r} as (select vec_id, any_value(e) as e, arg_min(k, struct_pack(d := list_distance(e, c), k := k)) as k from v, c{r} group by 1)"
+    for r in range(rounds):
+        parts.append(label.format(r=r))
+        parts.append(f"m{r} as (select k, list(m order by d) as c from (select k, d, avg(e[d]) as m from l{r}, range(1, 65) t(d) group by 1, 2) group by 1)")
+        parts.append(f"c{r + 1} as (select c{r}.k, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} on m{r}.k = c{r}.k)")
+    return f"with {', '.join(parts)}, {label.format(r=rounds)} select vec_id, cast(k as int) as label from l{rounds}"
+
+
+@query("kmeans_fixed_init", _lloyd_sql())
 def kmeans_fixed_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     centres = grid.kmeans(e, "embedding", [list(r.embedding) for r in e.orderBy("vec_id").limit(5).collect()], 5)
