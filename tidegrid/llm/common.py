@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-tidegrid-"))
-    return _LOCAL[0]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..operators.components import connected_components as connected_components
+from ..storage import stored as stored
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -43,35 +21,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(node, component) for every node of the undirected edges; component is the smallest node reachable.
-
-    Alternates large-star and small-star rounds. A round moves the edges through two shuffles, each
-    aggregated before the shuffle, and is written to the shared folder, so lineage stays short. Only
-    counts come to the driver. Self-loops and null ends are ignored; no edges give no rows.
-    """
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = stored(now, "edges"), None
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        pairs = e.union(e.select("v", "u")) if large else e
-        lowest = pairs.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        joined = pairs.join(lowest, "u")
-        if large:
-            moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
-        return moved.where("u <> v").distinct()
-
-    while True:
-        now = stored(star(star(now, True), False), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
-
-
 #: Bits of the hashes that a bit set tells apart: 2**22 bits are 512 kB at any corpus size.
 SET_BITS = 22
 

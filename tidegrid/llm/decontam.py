@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ascii_lower, bit_set, bit_test, stored, text_or_empty
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words when A-Z has not been lower-cased yet; enough to count them.
 SPLIT_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Anchors of the benchmark that may be broadcast; an anchor takes about 1 kB.
-BROADCAST_ANCHORS = 50_000
+#: Tokens, and bytes of anchored windows, that may be broadcast.
+BROADCAST_TOKENS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -33,87 +34,110 @@ def _shingles(rows: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
     return out
 
 
-def item_shingles(items: DataFrame, shingle: int) -> tuple[DataFrame, list[int]]:
-    """The shingles of all items, of `shingle` words or the whole of a shorter item, and the sizes in use."""
-    sizes = sorted(r[0] for r in items.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect())  # at most `shingle` rows
-    rows = _shingles(items, sizes or [shingle], ["item_id"]).where(F.col("size") == F.least(F.lit(shingle), F.size("w")))
-    return stored(rows, "item-shingles"), sizes or [shingle]
+def item_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(wh, w), the different windows of the items(item_id, w), and (wh, item_id), who has them: a window that many items share is one row.
 
+    wh is a 64-bit hash of the window's words.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window))
+    each = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, window))).alias("w")).select("item_id", F.xxhash64("w").alias("wh"), "w")
+    each = stored(each, "item-windows")
+    return stored(each.groupBy("wh").agg(F.min("w").alias("w")), "windows"), each.select("wh", "item_id").distinct()
 
-def anchors(its: DataFrame, seen: DataFrame, window: int) -> DataFrame:
-    """The necessary prefix token of each benchmark window.
 
-    An item's windows are ordered by how rare their shingles are in the corpus. Containment must be
-    whole, so the prefix that has to be shared is one token: the rarest. Windows that choose the same
-    shingle of an item share a row: (item_id, item_w, span, at, token, starts).
-    """
-    span = F.least(F.lit(window), F.size("w"))
-    ranked = (
-        its.join(seen.groupBy("token").agg(F.count("*").alias("n")), "token", "left")
-        .select("item_id", "w", "at", "size", "token", F.coalesce("n", F.lit(0)).alias("n"), span.alias("span"))
-        .withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") + F.col("size") - F.col("span")), F.least("at", F.size("w") - F.col("span")))))
-    )
-    rarest = ranked.groupBy("item_id", "start").agg(F.min(F.struct("n", "at", "token")).alias("best"), F.first("w").alias("item_w"), F.first("span").alias("span"))
-    grouped = rarest.where("best.n > 0").groupBy("item_id", F.col("best.at").alias("at"), F.col("best.token").alias("token")).agg(F.first("item_w").alias("item_w"), F.first("span").alias("span"), F.array_sort(F.collect_set("start")).alias("starts"))
-    return stored(grouped.select("item_id", "item_w", "span", "at", "token", "starts"), "anchors")
+def anchors(windows: DataFrame, tokens: DataFrame, seen: DataFrame) -> DataFrame:
+    """(wh, w, at, token): the necessary prefix token of each window that a document may hold.
 
+    A window's shingles are ordered by how rare they are in the corpus. Containment must be whole, so
+    the prefix that has to be shared is one token: the rarest. A window with a shingle that no document has is dropped.
+    """
+    ranked = tokens.join(seen.groupBy("token").agg(F.count("*").alias("n")), "token", "left")
+    rarest = ranked.groupBy("wh").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "token")).alias("best")).where("best.n > 0")
+    return stored(rarest.select("wh", "best.at", "best.token").join(windows, "wh"), "anchors")
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, span, starts): where windows of an item occur in a document, as word positions.
 
-    starts is empty for an alignment that was proposed but does not hold.
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(row, wh, start, span), where windows occur in documents, as word positions, and (wh, item_id); row is row_key() of a document.
 
     One pass over the corpus keeps the places of shingles that any item has; their counts order the
-    items' shingles by rarity. A place whose shingle is a window's anchor proposes one alignment of
-    item and document; the window must fit into the document there (length and positional bounds),
-    and its words are then compared one by one. A small benchmark is broadcast, after its shingles and
-    anchors are counted; beyond that bound they are shuffled by token.
+    windows' shingles by rarity. A second pass over the documents with an anchor takes, at each anchor,
+    the words that the window would cover: it must fit into the document there (length and positional
+    bounds), and its words are then compared one by one. Places, not documents, are joined, so a long
+    document is never one large row beyond its text. Few tokens and windows are broadcast, after they
+    are counted; beyond that bound a bit set of fixed size drops most places, and the rest is shuffled.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), words(text_or_empty(item_text)).alias("w")).where(F.size("w") > 0).dropDuplicates()
-    text = text_or_empty(text_col)
-    # rows of one id may be repeated, with other texts even: text_hash tells them apart
-    marked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
-    its, sizes = item_shingles(items, shingle)
-    wanted = its.select("token").distinct()
-    if its.count() <= BROADCAST_ANCHORS * 4:
-        wanted = F.broadcast(wanted)
-    seen = stored(_shingles(marked, sizes, ["id", "text_hash"]).select("id", "text_hash", F.col("at").alias("doc_at"), "token").join(wanted, "token"), "seen-shingles")
-    marks = anchors(its, seen, window)
-    tokens = marks.select("item_id", "at", "token")
-    small = marks.count() <= BROADCAST_ANCHORS
-    placed = seen.join(F.broadcast(tokens) if small else tokens, "token")
-    per = stored(placed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("item_id", "at", "token", "doc_at")).alias("places")), "placed-anchors")
-    # a set of fixed size keeps most texts without an anchor out of the shuffle
-    near = marked.where(bit_test(F.col("text_hash"), bit_set(per, F.col("text_hash"))))
-    aligned = per.join(near, ["id", "text_hash"]).select("id", "w", F.explode("places").alias("place")).select("id", "w", "place.*")
-    found = aligned.join(F.broadcast(marks) if small else marks, ["item_id", "at", "token"])
-    shift = F.col("doc_at") - F.col("at")
-    fits = lambda s: (shift + s >= 0) & (shift + s + F.col("span") <= F.size("w"))
-    same = lambda s: F.slice("w", shift + s + 1, F.col("span")) == F.slice("item_w", s + 1, F.col("span"))
-    hits = F.transform(F.filter("starts", lambda s: F.when(fits(s), same(s)).otherwise(False)), lambda s: shift + s)
-    return found.select("id", "item_id", "span", hits.alias("starts"))
+    windows, members = item_windows(items, window)
+    sizes = sorted(r[0] for r in windows.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect()) or [shingle]  # at most `shingle` rows
+    tokens = _shingles(windows, sizes, ["wh"]).where(F.col("size") == F.least(F.lit(shingle), F.size("w"))).select("wh", "at", "token")
+    tokens = stored(tokens, "window-tokens")
+    marked = docs.select(row_key(id_col, text_col).alias("row"), words(text_or_empty(text_col)).alias("w"))
+    wanted = stored(tokens.select("token").distinct(), "wanted-tokens")
+    seen = _shingles(marked, sizes, ["row"]).select("row", "token")
+    small = wanted.count() <= BROADCAST_TOKENS
+    seen = seen.join(F.broadcast(wanted), "token") if small else seen.where(bit_test(F.col("token"), bit_set(wanted, F.col("token")))).join(wanted, "token")
+    seen = stored(seen, "seen-shingles")
+    marks = anchors(windows, tokens, seen)
+    size = marks.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 16 * F.size("w") + 64)).first()[0] or 0
+    # sets of fixed size: documents without an anchor aren't split again
+    near = marked.where(bit_test(F.col("row"), bit_set(seen.join(marks.select("token").distinct(), "token").select("row"), F.col("row"))))
+    places = _shingles(near, sizes, ["row"]).where(bit_test(F.col("token"), bit_set(marks, F.col("token"))))
+    # the words around a place: from where a window can begin to where one can end
+    low = F.greatest(F.lit(0), F.col("at") - (window - 1))
+    around = places.select("row", "token", F.col("at").alias("doc_at"), low.alias("low"), F.slice("w", low + 1, F.least(F.size("w"), F.col("at") + window) - low).alias("around"))
+    met = around.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, "token")
+    start = F.col("doc_at") - F.col("at")
+    inside = (start >= 0) & (start + F.size("w") <= F.col("low") + F.size("around"))
+    found = met.where(F.when(inside, F.slice("around", start - F.col("low") + 1, F.size("w")) == F.col("w")).otherwise(False))
+    return found.select("row", "wh", start.alias("start"), F.size("w").alias("span")), members
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A 64-bit hash of a row's id and text: rows that share an id but not a text differ."""
+    return F.xxhash64(F.col(id_col).cast("string"), text_or_empty(text_col))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items): a row for each row of docs; items holds the sorted item ids as strings.
+    """(row, id, n_words, n_hit, items): a row for each row of docs; items holds the sorted item ids as strings, row is row_key().
 
     A window is `window` consecutive item words, or the whole of a shorter item; a document word is
-    hit when it lies inside any occurrence of a window. Null and empty texts have no words and no hits,
-    null item texts no windows. Rows with a null id are left out; repeated rows stay, and repeated
-    items count once. Other columns are ignored.
+    hit when it lies inside any occurrence of a window. Every row is judged by its own text, also where
+    ids repeat or are null. Null and empty texts have no words and no hits, null item texts and items
+    without an id no windows; repeated items count once. Other columns are ignored.
     """
-    found = matches(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text)
-    spans = found.groupBy("id", "span").agg(F.collect_set(F.when(F.size("starts") > 0, F.col("item_id"))).alias("items"), F.flatten(F.collect_list("starts")).alias("starts"))
-    hit = F.transform(F.array_distinct("starts"), lambda s: F.sequence(s, s + F.col("span") - 1))
-    per = spans.select("id", "items", F.array_distinct(F.flatten(hit)).alias("hit")).groupBy("id").agg(
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("n_hit")
-    )
-    per = per.select("id", "n_hit", F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    found, members = hits(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text)
+    found = stored(found.distinct(), "hits")
+    order = Window.partitionBy("row").orderBy("start", "span")
+    spans = found.select("row", "start", "span").distinct()
+    # words that no earlier interval has covered
+    before = F.coalesce(F.max(F.col("start") + F.col("span")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    new = spans.select("row", F.greatest(F.lit(0), F.col("start") + F.col("span") - F.greatest("start", before)).alias("new"))
+    n_hit = new.groupBy("row").agg(F.sum("new").alias("n_hit"))
+    items = found.select("row", "wh").distinct().join(members, "wh").groupBy("row").agg(F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("items"))
     n_words = F.size(F.array_remove(F.split(text_or_empty(text_col), SPLIT_ANY_CASE), ""))
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), n_words.cast("long").alias("n_words"))
-    return base.join(per, "id", "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    base = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), n_words.cast("long").alias("n_words"))
+    per = n_hit.join(items, "row")
+    return base.join(per, "row", "left").select("row", "id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def is_contaminated(share: int = 20) -> Column:
     """The rule on n_hit and n_words: hit words are at least one in `share`."""
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = 13, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with their columns; rows, not ids, are judged, as in contamination().
+
+    Only documents whose hash is in the bit set of the contaminated ones are shuffled.
+    """
+    bad = stored(contamination(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text).where(is_contaminated(share)).select("row").distinct(), "contaminated")
+    return without_rows(docs, bad, row_key(id_col, text_col))
+
+
+def without_rows(docs: DataFrame, bad: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose key is in bad(row). A bit set of fixed size lets most of the others pass without a shuffle."""
+    maybe = bit_test(key, bit_set(bad, F.col("row")))
+    suspects = docs.where(maybe)
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
+    stay = suspects.select(held, key.alias("row")).join(bad, "row", "left_anti").select("held.*")
+    return docs.where(~maybe).unionByName(stay)

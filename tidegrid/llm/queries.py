@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, licenses, lines, pieces, pii, quality, sharding, simhash
+from . import chat, decontam, imatch, licenses, lines, oracles, pieces, pii, quality, sharding, simhash
 from .common import text_or_empty
 
 
@@ -95,7 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_license_scan": oracles.license_scan(), "op9_benchmark_decontamination": oracles.decontamination()}
 
 
 def oracle_sql() -> dict[str, str]:
