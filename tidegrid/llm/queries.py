@@ -55,14 +55,13 @@ def op5_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
-    bits = imatch.lexicon(docs, F.col("text"))
-    own = imatch.with_fingerprint(docs, F.col("text"), bits, "fingerprint")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
+    held = imatch.Membership(imatch.lexicon(docs, F.col("text")))
+    own = imatch.with_fingerprint(docs, F.col("text"), held, "fingerprint")
     pairs = imatch.with_next(own, ["text", "fingerprint"])
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut))
-    pairs = pairs.withColumn("edited", edited)
-    pairs = imatch.with_fingerprint(pairs, F.col("edited"), bits, "edited_fingerprint")
+    pairs = imatch.with_fingerprint(pairs.withColumn("edited", edited), F.col("edited"), held, "edited_fingerprint")
     return pairs.select(
         F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
