@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, bit_set, bit_test, stored, text_or_empty
+from .common import ascii_lower, bit_set, bit_test, stored, text_or_empty, without_rows
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words when A-Z has not been lower-cased yet; enough to count them.
@@ -132,12 +132,3 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int =
     """
     bad = stored(contamination(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text).where(is_contaminated(share)).select("row").distinct(), "contaminated")
     return without_rows(docs, bad, row_key(id_col, text_col))
-
-
-def without_rows(docs: DataFrame, bad: DataFrame, key: Column) -> DataFrame:
-    """docs without the rows whose key is in bad(row). A bit set of fixed size lets most of the others pass without a shuffle."""
-    maybe = bit_test(key, bit_set(bad, F.col("row")))
-    suspects = docs.where(maybe)
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
-    stay = suspects.select(held, key.alias("row")).join(bad, "row", "left_anti").select("held.*")
-    return docs.where(~maybe).unionByName(stay)

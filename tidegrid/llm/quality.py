@@ -9,17 +9,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Labelled rows that are fitted at most, and unlabelled rows that may be pseudo-labelled in a round. Both are chosen by a hash of the id.
-LABELLED_ROWS = 3_000
-POOL_ROWS = 1_500
+from .common import stored, without_rows
+
+#: Labelled rows that are fitted at most, and entries of their features together. They are chosen by a hash of the id.
+LABELLED_ROWS, LABELLED_ENTRIES = 3_000, 4_000_000
 ROUNDS = 3
-#: A view labels a pool row for the other one when it is this sure.
+#: Parts, by a hash, into which each class of pseudo-labelled documents is summed; their means are fitted.
+PARTS = 4
+#: What the pseudo-labelled documents of a round weigh against the labelled ones.
+PSEUDO_WEIGHT = 0.5
+#: A view labels a document for the other one when it is this sure.
 CONFIDENT = 0.97
 #: Share of the labelled rows that are held out to calibrate the views.
 HELD_OUT = 0.3
@@ -27,16 +33,28 @@ DIMENSION = 1 << 15
 STEPS = 120
 #: Word weights are kept as multiples of this, so that sums do not depend on their order.
 UNIT = 2.0**-32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Tokens longer than this, as of languages without spaces, are split into overlapping pieces of three characters.
+LONG_TOKEN = 32
 #: Entries of the training data that are worked on at a time.
 BLOCK = 1 << 18
 
 
 def word_features(word: str) -> list[int]:
     """Hashed features of a word: itself in lower case, its last three characters, its shape."""
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:24])
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     short = re.sub(r"(.)\1+", r"\1", shape)
-    return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % DIMENSION for x in ("w" + word[:64].lower(), "e" + word[-3:], "s" + short)]
+    return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % DIMENSION for x in ("w" + word.lower(), "e" + word[-3:], "s" + short)]
+
+
+def tokens(text: str) -> Counter:
+    """Counts of a text's words; the whole of a long one counts, as its overlapping pieces."""
+    counts = Counter(text.split())
+    for w in [w for w in counts if len(w) > LONG_TOKEN]:
+        n = counts.pop(w)
+        for i in range(len(w) - 2):
+            counts[w[i : i + 3]] += n
+    return counts
 
 
 def repetition_features(counts: Counter) -> list[int]:
@@ -130,168 +148,221 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(0.0, theta[0]) / scale), float(theta[1])
 
 
+@dataclass
+class View:
+    """A linear view, and what makes log odds of its scores."""
+
+    weights: np.ndarray
+    bias: float
+    slope: float
+    offset: float
+
+
 @dataclass
 class Model:
-    """Two calibrated views. Without both classes among the labels it gives the smoothed share of good ones."""
+    """The content view and the metadata view. Without both classes among the labels there are none, and the prior is the smoothed share of good ones."""
 
     prior: float
-    content: tuple[np.ndarray, float, float, float] | None = None  # word weights, bias, slope, offset
-    meta: tuple[np.ndarray, float, float, float, np.ndarray, np.ndarray] | None = None
+    views: list[View] = field(default_factory=list)
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(META))
+    sd: np.ndarray = field(default_factory=lambda: np.ones(META))
     stats: dict = field(default_factory=dict)
 
 
-_HELD: list = []
+_HELD: dict[str, list[int]] = {}
+
+
+def _features(text: str) -> tuple[list[int], list[float]]:
+    """Ids and values of the content features: each word's share of the text for each of its features, and the repetition features."""
+    counts = tokens(text)
+    total: dict[int, float] = dict.fromkeys(repetition_features(counts), 1.0)
+    share = 1 / max(1, sum(counts.values()))
+    for w, n in counts.items():
+        found = _HELD.get(w)
+        if found is None:
+            found = word_features(w)
+            if len(_HELD) >= CACHE_WORDS:
+                _HELD.clear()
+            _HELD[w] = found
+        x = n * share
+        for f in found:
+            total[f] = total.get(f, 0.0) + x
+    return list(total), list(total.values())
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang") -> DataFrame:
+    """(id, row, ids, values, meta): both views' features of every row of docs; row is row_key()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [t or "" for t in part.column(2).to_pylist()]
+                made = [_features(t) for t in texts]
+                meta = [metadata(t, s, g) for t, s, g in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.float32()))],
+                    ["id", "row", "ids", "values", "meta"],
+                )
+
+    col = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col, source_col, lang_col).alias("row"), F.col(text_col).alias("text"), col(source_col).alias("source"), col(lang_col).alias("lang"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, ids array<int>, values array<float>, meta array<float>")
 
 
-def _word_weights(weights: np.ndarray):
-    """A worker's word -> integer weight table for one model; emptied when full."""
-    key = (len(weights), float(weights[:64].sum()), float(weights.sum()))
-    if not _HELD or _HELD[0] != key:
+def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang") -> Column:
+    """A 64-bit hash of what a row's scores come from, and of its id."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (id_col, text_col, source_col, lang_col) if c])
 
-        class Words(dict):
-            def __missing__(self, word: str) -> int:
-                total = round(float(weights[word_features(word)].sum()) / UNIT)
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                if len(word) <= 64:
-                    self[word] = total
-                return total
 
-        _HELD[:] = [key, Words()]
-    return _HELD[1]
+def _matrices(batch: pa.RecordBatch | pa.Table, model: Model) -> tuple[Sparse, Sparse]:
+    """Both views of a batch with columns ids, values and meta."""
+    column = lambda c: batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c)
+    ids, values, meta = column("ids"), column("values"), column("meta")
+    n = batch.num_rows
+    x = Sparse(ids.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64)]))
+    dense = (meta.flatten().to_numpy().astype(float).reshape(-1, META) - model.mean) / model.sd
+    return x, Sparse(np.tile(np.arange(META), n), dense.ravel(), np.arange(n + 1) * META)
 
 
-def scores(model: Model, texts: list[str], sources: list, langs: list) -> np.ndarray:
+def scores(model: Model, batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     """Rows of (p_content, p_metadata, p_quality)."""
-    if model.content is None or model.meta is None:
-        return np.full((len(texts), 3), model.prior)
-    weights, bias, slope, offset = model.content
-    table = _word_weights(weights)
-    raw = np.empty(len(texts))
-    for i, t in enumerate(texts):
-        counts = Counter(t.split())
-        total = sum(n * table[w] for w, n in counts.items()) / max(1, sum(counts.values()))
-        raw[i] = bias + total * UNIT + float(weights[repetition_features(counts)].sum())
-    a = slope * raw + offset
-    w, bias, slope, offset, mean, sd = model.meta
-    m = (np.array([metadata(t, s, g) for t, s, g in zip(texts, sources, langs)]).reshape(-1, META) - mean) / sd
-    b = slope * (m @ w + bias) + offset
+    if not model.views:
+        return np.full((batch.num_rows, 3), model.prior)
+    odds = [v.slope * (m.dot(v.weights) + v.bias) + v.offset for v, m in zip(model.views, _matrices(batch, model))]
     prior = math.log(model.prior / (1 - model.prior))
     # the views are taken as independent given the class
-    return np.round(np.stack([_sigmoid(a), _sigmoid(b), _sigmoid(a + b - prior)], axis=1), 9)
-
-
-def _gather(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, source_col: str | None, lang_col: str | None) -> pa.Table:
-    """Both views' features of the chosen ids; their number is bounded, so they come to the driver."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for at in range(0, len(d), 200):
-                out = []
-                for r in d.iloc[at : at + 200].itertuples(index=False):
-                    text = r.text or ""
-                    counts = Counter(text.split())
-                    total: dict[int, float] = dict.fromkeys(repetition_features(counts), 1.0)
-                    share = 1 / max(1, sum(counts.values()))
-                    for w, n in counts.items():
-                        for f in word_features(w):
-                            total[f] = total.get(f, 0.0) + n * share
-                    out.append((r.id, r.part, r.quality, list(total), list(total.values()), metadata(text, r.source, r.lang)))
-                yield pd.DataFrame(out, columns=["id", "part", "quality", "ids", "values", "meta"])
+    return np.round(np.stack([*map(_sigmoid, odds), _sigmoid(odds[0] + odds[1] - prior)], axis=1), 9)
 
-    col = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), col(source_col).alias("source"), col(lang_col).alias("lang"))
-    picked = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    got = picked.mapInPandas(run, "id string, part int, quality int, ids array<int>, values array<float>, meta array<double>")
-    return got.toArrow()
 
+def _confident(table: DataFrame, model: Model, sure: float) -> pa.Table:
+    """(view, label, part, feature, total, n): sums of what the views label for each other, over all of table(row, ids, values, meta).
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model:
-    """Fit both views on at most labelled_rows labelled documents and rounds x pool_rows others.
+    view is the one that learns. Sums are of whole multiples of UNIT, so their order has no part in them,
+    and each task sums what it reads first. feature -1 counts documents. What comes to the driver is
+    bounded by the features, classes and parts.
+    """
+    held = table.sparkSession.sparkContext.broadcast(model)
+    sizes = (DIMENSION, META)
 
-    Every round takes a new pool of unlabelled documents. Each view labels the pool rows it is sure of
-    for the other view, as many of a class as the rarer sure class allows in the labels' proportion,
-    and both are fitted again. Held-out labelled rows then calibrate each view. Null labels and null
-    ids are left out; repeated labels of an id count once, as the highest.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [[[np.zeros(d + 1, dtype=np.int64) for _ in range(PARTS)] for _ in (0, 1)] for d in sizes]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                m, p = _matrices(piece, held.value), scores(held.value, piece)
+                part = piece.column("row").to_numpy() % PARTS
+                for k in (0, 1):
+                    for c, chosen in ((1, p[:, k] >= sure), (0, p[:, k] <= 1 - sure)):
+                        for q in range(PARTS):
+                            mine = np.flatnonzero(chosen & (part == q))
+                            if len(mine):
+                                other = m[1 - k].rows(mine)
+                                into = sums[1 - k][c][q]
+                                np.add.at(into, other.ids, np.rint(other.values.astype(float) / UNIT).astype(np.int64))
+                                into[-1] += len(mine)
+        for k, d in enumerate(sizes):
+            for c in (0, 1):
+                for q in range(PARTS):
+                    at = np.flatnonzero(sums[k][c][q])
+                    same = lambda x: pa.array(np.full(len(at), x, dtype=np.int32))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(k), same(c), same(q), pa.array(np.where(at == d, -1, at).astype(np.int32)), pa.array(sums[k][c][q][at])], ["view", "label", "part", "feature", "total"])
+
+    made = table.select("row", "ids", "values", "meta").mapInArrow(run, "view int, label int, part int, feature int, total long")
+    return made.groupBy("view", "label", "part", "feature").agg(F.sum("total").alias("total")).toArrow()
+
+
+def _labelled(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, labelled_rows: int, labelled_entries: int) -> pa.Table:
+    """(id, quality, ids, values, meta) of the labelled documents that are fitted; of an id's texts the one of least row counts."""
+    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("quality")).dropna().groupBy("id").agg(F.max("quality").alias("quality"))
+    sized = table.select("id", "row", F.size("ids").alias("size")).join(given, "id").groupBy("id").agg(F.min(F.struct("row", "size", "quality")).alias("x"))
+    drawn = sized.select("id", "x.*", F.xxhash64(F.col("id").cast("string"), F.lit(0)).alias("draw")).orderBy("draw", "id").limit(labelled_rows)
+    # the limit holds few rows, so one window over them is small
+    fits = drawn.withColumn("upto", F.sum("size").over(Window.orderBy("draw", "id"))).where(F.col("upto") <= labelled_entries).select(F.col("id").alias("chosen"), F.col("row").alias("chosen_row"), "quality")
+    joined = table.join(F.broadcast(fits), (F.col("id") == F.col("chosen")) & (F.col("row") == F.col("chosen_row")))
+    return joined.select(F.col("id").cast("string").alias("id"), "quality", "ids", "values", "meta").dropDuplicates(["id"]).toArrow()
+
+
+def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, labelled_entries: int = LABELLED_ENTRIES, rounds: int = ROUNDS, sure: float = CONFIDENT) -> Model:
+    """Fit both views on labelled documents of table, which is that of features(), and on pseudo-labels of all its documents.
+
+    In every round each view labels all the documents that it is sure of for the other view. They are
+    summed in the executors, a class in PARTS parts, and the means of the parts are fitted beside the
+    labelled documents, each class with the weight that the labels' proportion gives it. Held-out
+    labelled rows calibrate each view. Null labels and null ids are left out; repeated labels of an id
+    count once, as the highest.
     """
-    given = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("quality")).dropna().groupBy("id").agg(F.max("quality").alias("quality"))
-    draw = lambda seed: F.xxhash64("id", F.lit(seed))
-    ids = docs.select(F.col(id_col).cast("string").alias("id")).where("id is not null")
-    known = given.join(ids, "id", "left_semi").orderBy(draw(0), "id").limit(labelled_rows).select("id", F.lit(-1).alias("part"), "quality")
-    others = ids.join(given, "id", "left_anti").orderBy(draw(1), "id").limit(pool_rows * rounds).select("id", F.pmod(draw(2), F.lit(max(1, rounds))).cast("int").alias("part"), F.lit(None).cast("int").alias("quality"))
-    data = _gather(docs, known.unionByName(others).dropDuplicates(["id"]), id_col, text_col, source_col, lang_col)
-    order = np.argsort(np.array(data["id"].to_pylist(), dtype=object), kind="stable")
-    ids = [data["id"][int(i)].as_py() for i in order]
-    part = data["part"].to_numpy()[order]
-    lab = part == -1
-    y = np.clip(data["quality"].fill_null(0).to_numpy()[order], 0, 1).astype(int)
-    good = int(y[lab].sum())
-    prior = (good + 1) / (lab.sum() + 2)
-    if good in (0, int(lab.sum())) or min(good, lab.sum() - good) < 4:
-        return Model(float(prior), stats={"labelled": int(lab.sum())})
-    listed, values = data["ids"].combine_chunks(), data["values"].combine_chunks()
-    x = Sparse(listed.values.to_numpy(), values.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64)).rows(order)
-    meta = data["meta"].combine_chunks().values.to_numpy().reshape(-1, META)[order]
-    del data, listed, values
-    mean, sd = meta.mean(axis=0), np.maximum(meta.std(axis=0), 0.05)
-    dense = (meta - mean) / sd
-    z = Sparse(np.tile(np.arange(META), len(ids)), dense.ravel(), np.arange(len(ids) + 1) * META)
+    data = _labelled(table, labels, id_col, label_col, labelled_rows, labelled_entries)
+    data = data.take(np.argsort(np.array(data["id"].to_pylist(), dtype=object), kind="stable"))
+    y = np.clip(data["quality"].fill_null(0).to_numpy(), 0, 1).astype(int)
+    good = int(y.sum())
+    prior = (good + 1) / (len(y) + 2)
+    if min(good, len(y) - good) < 4:
+        return Model(float(prior), stats={"labelled": len(y)})
+    meta = data["meta"].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, META)
+    model = Model(float(prior), mean=meta.mean(axis=0), sd=np.maximum(meta.std(axis=0), 0.05), stats={"labelled": len(y), "exchanged": [0, 0]})
+    data_views = _matrices(data, model)
     # every class is split alike between fitting and calibration
-    rank = np.array([xxhash.xxh64_intdigest(i.encode(), 7) for i in ids], dtype=np.uint64)
-    held = np.zeros(len(ids), dtype=bool)
+    rank = np.array([xxhash.xxh64_intdigest(i.encode(), 7) for i in data["id"].to_pylist()], dtype=np.uint64)
+    held = np.zeros(len(y), dtype=bool)
     for c in (0, 1):
-        mine = np.flatnonzero(lab & (y == c))
+        mine = np.flatnonzero(y == c)
         held[mine[np.argsort(rank[mine])[: max(2, int(HELD_OUT * len(mine)))]]] = True
-    base = np.flatnonzero(lab & ~held)
-    extra: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # pseudo-labels for the content view, for the metadata view
-    views = (x, z)
-    sizes = (DIMENSION, META)
-    share = max(1, good) / max(1, lab.sum() - good)
-
-    def refit(k: int) -> tuple[np.ndarray, float]:
-        rows = np.concatenate([base, *[r for r, _ in extra[k]]])
-        target = np.concatenate([y[base], *[t for _, t in extra[k]]])
-        weight = np.concatenate([np.ones(len(base)), *[np.full(len(r), 0.5) for r, _ in extra[k]]])
-        return fit(views[k].rows(rows), target, weight, sizes[k])
-
-    def calibrated(k: int, w: np.ndarray, b: float) -> tuple[float, float]:
-        at = np.flatnonzero(held)
-        return platt(views[k].rows(at).dot(w) + b, y[at])
-
-    fits = [refit(0), refit(1)]
-    exchanged = [0, 0]
-    for r in range(rounds):
-        pool = np.flatnonzero(part == r)
-        if not len(pool):
-            continue
+    base, judged, sizes = np.flatnonzero(~held), np.flatnonzero(held), (DIMENSION, META)
+    share = np.array([1 - prior, prior])
+    extra: list[list[tuple[np.ndarray, np.ndarray, int, float]]] = [[], []]  # of each view: (ids, values, label, weight) of the means
+
+    def refit(k: int) -> View:
+        own = data_views[k].rows(base)
+        ids, values = [own.ids, *[i for i, _, _, _ in extra[k]]], [own.values, *[v for _, v, _, _ in extra[k]]]
+        ends = np.concatenate([own.offsets, own.offsets[-1] + np.cumsum([len(i) for i in ids[1:]], dtype=np.int64)])
+        target = np.concatenate([y[base], np.array([c for _, _, c, _ in extra[k]], dtype=int)])
+        weight = np.concatenate([np.ones(len(base)), np.array([w for _, _, _, w in extra[k]])])
+        w, b = fit(Sparse(np.concatenate(ids), np.concatenate(values), ends), target, weight, sizes[k])
+        return View(w, b, *platt(data_views[k].rows(judged).dot(w) + b, y[judged]))
+
+    model.views = [refit(0), refit(1)]
+    for _ in range(rounds):
+        sums = _confident(table, model, sure).to_pandas()
         for k in (0, 1):
-            slope, offset = calibrated(k, *fits[k])
-            p = _sigmoid(slope * (views[k].rows(pool).dot(fits[k][0]) + fits[k][1]) + offset)
-            yes, no = np.flatnonzero(p >= CONFIDENT), np.flatnonzero(p <= 1 - CONFIDENT)
-            n_no = min(len(no), max(1, int(len(yes) / share)))
-            yes, no = yes[np.argsort(-p[yes], kind="stable")][: max(1, int(share * n_no))], no[np.argsort(p[no], kind="stable")][:n_no]
-            taken = np.concatenate([pool[yes], pool[no]])
-            extra[1 - k].append((taken, np.concatenate([np.ones(len(yes), int), np.zeros(len(no), int)])))
-            exchanged[k] += len(taken)
-        fits = [refit(0), refit(1)]
-    slopes = [calibrated(k, *fits[k]) for k in (0, 1)]
-    return Model(float(prior), (fits[0][0], fits[0][1], *slopes[0]), (fits[1][0], fits[1][1], *slopes[1], mean, sd), {"labelled": int(lab.sum()), "exchanged": exchanged})
-
-
-def scorer(spark, model: Model, text: Column, source: Column, lang: Column) -> Column:
-    """A struct column (p_content, p_metadata, p_quality); null texts count as empty."""
-    held = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("p_content double, p_metadata double, p_quality double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for t, s, g in batches:
-            made = scores(held.value, [x or "" for x in t], s.tolist(), g.tolist())
-            yield pd.DataFrame(made, columns=["p_content", "p_metadata", "p_quality"])
-
-    return run(text, source.cast("string"), lang.cast("string"))
+            mine, extra[k] = sums[sums["view"] == k], []
+            n = {(r.label, r.part): r.total for r in mine[mine["feature"] < 0].itertuples()}
+            both = {c for c, _ in n} == {0, 1}
+            for (c, q), found in sorted(n.items()) if both else ():
+                cell = mine[(mine["label"] == c) & (mine["part"] == q) & (mine["feature"] >= 0)].sort_values("feature")
+                all_of_class = sum(v for (label, _), v in n.items() if label == c)
+                extra[k].append((cell["feature"].to_numpy(), cell["total"].to_numpy() * UNIT / found, c, PSEUDO_WEIGHT * len(base) * share[c] * found / all_of_class))
+            model.stats["exchanged"][1 - k] = int(sum(n.values()))
+        model.views = [refit(0), refit(1)]
+    return model
+
+
+def judged(table: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """(id, row, p_content, p_metadata, p_quality, keep) of every row of table, which is that of features()."""
+    held = table.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                p = scores(held.value, part)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), *[pa.array(p[:, k]) for k in range(3)]], ["id", "row", "p_content", "p_metadata", "p_quality"])
+
+    kind = table.schema["id"].dataType.simpleString()
+    made = table.mapInArrow(run, f"id {kind}, row long, p_content double, p_metadata double, p_quality double")
+    return made.withColumn("keep", F.col("p_quality") >= threshold)
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", **bounds) -> DataFrame:
+    """(id, row, p_content, p_metadata, p_quality, keep) for every row of docs; row is row_key().
+
+    Texts are read once: their features are written to the shared folder, and training and scoring read those.
+    """
+    table = stored(features(docs, id_col, text_col, source_col, lang_col), "quality-features")
+    return judged(table, train(table, labels, id_col, label_col, **bounds), threshold)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", **bounds: int) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", **bounds) -> DataFrame:
     """docs with p_content, p_metadata, p_quality and keep (p_quality >= threshold), for every row.
 
     The model is trained as in train(); all documents are scored, over their whole texts. Null texts
@@ -300,10 +371,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     good labels, a half if there are none, and are kept at the threshold of a half. Columns of docs by
     the names of the results are replaced.
     """
-    model = train(docs, labels, id_col, text_col, source_col, lang_col, label_col, **bounds)
-    none = F.lit(None).cast("string")
-    p = scorer(docs.sparkSession, model, F.col(text_col), F.col(source_col) if source_col else none, F.col(lang_col) if lang_col else none)
-    made = docs.withColumn("__p", p)
-    for name in ("p_content", "p_metadata", "p_quality"):
-        made = made.withColumn(name, F.col(f"__p.{name}"))
-    return made.drop("__p").withColumn("keep", F.col("p_quality") >= threshold)
+    found = judge(docs, labels, threshold, id_col, text_col, source_col, lang_col, label_col, **bounds)
+    new = ("p_content", "p_metadata", "p_quality", "keep")
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("held")
+    rows = docs.select(held, row_key(id_col, text_col, source_col, lang_col).alias("row"))
+    return rows.join(found.select("row", *new).dropDuplicates(["row"]), "row").select("held.*", *new)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", **bounds) -> DataFrame:
+    """The rows of docs that classify() keeps, with their columns; only rows that may be rejected are shuffled."""
+    found = judge(docs, labels, threshold, id_col, text_col, source_col, lang_col, label_col, **bounds)
+    bad = stored(found.where("not keep").select("row").distinct(), "quality-rejected")
+    return without_rows(docs, bad, row_key(id_col, text_col, source_col, lang_col))

@@ -34,8 +34,8 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return made.select("doc_id", "p_content", "p_metadata", "p_quality", "keep")
+    made = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return made.select(F.col("id").alias("doc_id"), "p_content", "p_metadata", "p_quality", "keep")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
