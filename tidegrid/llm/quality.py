@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -169,25 +170,29 @@ class Model:
     stats: dict = field(default_factory=dict)
 
 
-_HELD: dict[str, list[int]] = {}
+_HELD: dict[str, array] = {}
 
 
-def _features(text: str) -> tuple[list[int], list[float]]:
-    """Ids and values of the content features: each word's share of the text for each of its features, and the repetition features."""
-    counts = tokens(text)
-    total: dict[int, float] = dict.fromkeys(repetition_features(counts), 1.0)
-    share = 1 / max(1, sum(counts.values()))
-    for w, n in counts.items():
-        found = _HELD.get(w)
-        if found is None:
-            found = word_features(w)
-            if len(_HELD) >= CACHE_WORDS:
-                _HELD.clear()
-            _HELD[w] = found
-        x = n * share
-        for f in found:
-            total[f] = total.get(f, 0.0) + x
-    return list(total), list(total.values())
+def _lists(texts: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Ids and values of the content features of texts: each word's share of the text for each of its three features, and the repetition features. An id may occur more than once."""
+    ids, times, ends = array("i"), [], [0]
+    for text in texts:
+        counts = tokens(text)
+        for w in counts:
+            found = _HELD.get(w)
+            if found is None:
+                found = array("i", word_features(w))
+                if len(_HELD) >= CACHE_WORDS:
+                    _HELD.clear()
+                _HELD[w] = found
+            ids += found
+        n = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
+        times += [np.repeat(n / max(1.0, float(n.sum())), 3), np.ones(2, dtype=np.float32)]
+        ids += array("i", repetition_features(counts))
+        ends.append(len(ids))
+    offsets = pa.array(ends, pa.int32())
+    values = np.concatenate(times) if times else np.zeros(0, dtype=np.float32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(ids, dtype=np.int32))), pa.ListArray.from_arrays(offsets, pa.array(values))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang") -> DataFrame:
@@ -198,10 +203,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = [t or "" for t in part.column(2).to_pylist()]
-                made = [_features(t) for t in texts]
                 meta = [metadata(t, s, g) for t, s, g in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.float32()))],
+                    [part.column(0), part.column(1), *_lists(texts), pa.array(meta, pa.list_(pa.float32()))],
                     ["id", "row", "ids", "values", "meta"],
                 )
 
@@ -259,7 +263,8 @@ def _confident(table: DataFrame, model: Model, sure: float) -> pa.Table:
                             if len(mine):
                                 other = m[1 - k].rows(mine)
                                 into = sums[1 - k][c][q]
-                                np.add.at(into, other.ids, np.rint(other.values.astype(float) / UNIT).astype(np.int64))
+                                # sums of whole numbers below 2**53 are exact
+                                into[:-1] += np.bincount(other.ids, np.rint(other.values.astype(float) / UNIT), len(into) - 1).astype(np.int64)
                                 into[-1] += len(mine)
         for k, d in enumerate(sizes):
             for c in (0, 1):
