@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import stored
-from .components import connected_components
-from .grid import VECTOR_BLOCK, ancestors, components, distance
+from .grid import VECTOR_BLOCK, ancestors, components, distance, pointer_roots
+from .ordered import ranked
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -148,6 +148,7 @@ def main_component(vertices: DataFrame, edges: DataFrame, vertex: str = "id") ->
 
 def geodesic_voronoi(edges: DataFrame, seeds: DataFrame, vertex: str = "id") -> DataFrame:
     """(vertex, label, distance): the seed that is nearest along the edges, of equally near ones the least, by relaxing the vertices that changed."""
+    edges = stored(edges.select("src", "dst", "w"), "geodesic-edges")
     best = stored(seeds.select(vertex, F.struct(F.lit(0.0).alias("d"), F.col(vertex).alias("s")).alias("b")), "geodesic")
     front = best
     while not front.isEmpty():
@@ -161,6 +162,7 @@ def geodesic_voronoi(edges: DataFrame, seeds: DataFrame, vertex: str = "id") ->
 
 def all_distances(edges: DataFrame, seeds: DataFrame, vertex: str = "id") -> DataFrame:
     """(seed, vertex, distance) for every vertex that a seed reaches: one relaxation for all seeds together."""
+    edges = stored(edges.select("src", "dst", "w"), "distance-edges")
     best = stored(seeds.select(F.col(vertex).alias("seed"), vertex, F.lit(0.0).alias("distance")), "distances")
     front = best
     while not front.isEmpty():
@@ -182,8 +184,6 @@ def highest_neighbour(field: DataFrame, edges: DataFrame, vertex: str = "id", va
 def watershed(field: DataFrame, edges: DataFrame, threshold: float = float("-inf"), vertex: str = "id", value: str = "value") -> DataFrame:
     """(vertex, peak, peak_value): the basin of steepest ascent of every vertex above the threshold; its top is the peak."""
     f = field.where(F.col(value) > threshold).select(vertex, value)
-    from .grid import pointer_roots
-
     to = highest_neighbour(f, subgraph(edges, f, vertex), vertex, value).select(F.col(vertex).alias("tree"), F.col("top").alias("root"))
     roots = pointer_roots(to)
     tops = f.select(F.col(vertex).alias("peak"), F.col(value).alias("peak_value"))
@@ -271,11 +271,5 @@ def propagate_upward(nodes: DataFrame, label: str, node: str = "id", parent: str
 
 def top_down_order(nodes: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
     """(node, height, place): places from the leaves to the roots, by height, then node."""
-    from .ordered import ranked
-
     h = depth_from_leaves(nodes, node, parent).withColumn("__x", F.col("height").cast("double"))
     return ranked(h, [], "__x", [node]).select(node, "height", (F.col("rank") - 1).alias("place"))
-
-
-def clusters_of_edges(edges: DataFrame) -> DataFrame:
-    return connected_components(edges, "src", "dst")

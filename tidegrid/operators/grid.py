@@ -46,6 +46,24 @@ def diffusion(cells: DataFrame, at: Sequence[str], value: str, reach: int = 1) -
     return neighbours(cells, at, value, reach).groupBy(*at).agg(F.sum("neighbour").alias(value))
 
 
+def opening(cells: DataFrame, at: Sequence[str], value: str, rounds: int = 1, reach: int = 1) -> DataFrame:
+    """So many erosions, then as many dilations."""
+    for _ in range(rounds):
+        cells = erosion(cells, at, value, reach)
+    for _ in range(rounds):
+        cells = dilation(cells, at, value, reach)
+    return cells
+
+
+def closing(cells: DataFrame, at: Sequence[str], value: str, rounds: int = 1, reach: int = 1) -> DataFrame:
+    """So many dilations, then as many erosions."""
+    for _ in range(rounds):
+        cells = dilation(cells, at, value, reach)
+    for _ in range(rounds):
+        cells = erosion(cells, at, value, reach)
+    return cells
+
+
 def components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
     """(vertex, label): label is the least vertex of its component, by star contraction; a vertex without edges is its own."""
     found = connected_components(edges, src, dst)
@@ -54,6 +72,7 @@ def components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: s
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
     """(vertex, distance) of every vertex that the seeds reach, by relaxing the vertices that changed in the round before."""
+    edges = cut(edges.select(src, dst, weight))
     best = cut(seeds.select(vertex, F.lit(0.0).alias("distance")))
     front = best
     while front.limit(1).count():
