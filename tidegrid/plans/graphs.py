@@ -190,7 +190,7 @@ def _field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "local_maxima",
-    f"""with recursive {HIGH}, {VALUES}, n as (select src, dst from e union all select id, id from h), s as (select id, id as pos, 0 as k from h union select s.id, n.dst, s.k + 1 from s join n on n.src = s.pos where s.k < 20),
+    f"""with recursive {HIGH}, {VALUES}, n as (select src, dst from e union all select id, id from h), s as (select id, id as pos, 0 as k from h union select s.id, n.dst, s.k + 1 from s join n on n.src = s.pos where s.k < 60),
     x as (select s.id, k, max(v) as v from s join hv on hv.id = s.pos group by 1, 2), w as (select coalesce(max(y.k), 0) as rounds from x y join x z on y.k = z.k + 1 and y.id = z.id and y.v <> z.v),
     a as (select x.id, min(k) filter (x.v > hv.v) - 1 as lost from x join hv on hv.id = x.id group by 1) select cast(id as bigint) as id, cast(coalesce(lost, greatest(1, (select rounds from w))) as int) as depth from a where coalesce(lost, 1) > 0""",
 )

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import fits, graphs, masks, regression, sampling, series, space, trends  # noqa: F401  they register on import
+    from . import fits, graphs, masks, models, regression, sampling, series, space, trends  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
