@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ DIMENSION = 1 << 15
 STEPS = 120
 #: Word weights are kept as multiples of this, so that sums do not depend on their order.
 UNIT = 2.0**-32
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: Tokens longer than this, as of languages without spaces, are split into overlapping pieces of three characters.
 LONG_TOKEN = 32
 #: Entries of the training data that are worked on at a time.
@@ -174,7 +173,7 @@ _HELD: dict[str, array] = {}
 
 
 def _lists(texts: list[str]) -> tuple[pa.Array, pa.Array]:
-    """Ids and values of the content features of texts: each word's share of the text for each of its three features, and the repetition features. An id may occur more than once."""
+    """Ids (int32) and values (float32) of the content features of texts, packed: each word's share of the text for each of its three features, and the repetition features. An id may occur more than once."""
     ids, times, ends = array("i"), [], [0]
     for text in texts:
         counts = tokens(text)
@@ -190,28 +189,42 @@ def _lists(texts: list[str]) -> tuple[pa.Array, pa.Array]:
         times += [np.repeat(n / max(1.0, float(n.sum())), 3), np.ones(2, dtype=np.float32)]
         ids += array("i", repetition_features(counts))
         ends.append(len(ids))
-    offsets = pa.array(ends, pa.int32())
     values = np.concatenate(times) if times else np.zeros(0, dtype=np.float32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(ids, dtype=np.int32))), pa.ListArray.from_arrays(offsets, pa.array(values))
+    return _packed(np.array(ends, dtype=np.int32), ids.tobytes()), _packed(np.array(ends, dtype=np.int32), values.tobytes())
+
+
+def _packed(ends: np.ndarray, raw: bytes) -> pa.Array:
+    """An array of byte strings that hold so many four-byte numbers each."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+
+
+def _flat(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All the numbers of a column of _packed(), and where each row's begin and end."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, at, raw = c.buffers()
+    ends = np.frombuffer(at, dtype=np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if len(c) else np.zeros(1, dtype=np.int64)
+    held = np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]].copy().view(kind) if raw is not None and ends[-1] > ends[0] else np.zeros(0, dtype=kind)
+    return held, (ends - ends[0]) // 4
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang") -> DataFrame:
-    """(id, row, ids, values, meta): both views' features of every row of docs; row is row_key()."""
+    """(id, row, ids, values, meta): both views' features of every row of docs, as packed numbers; row is row_key()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = [t or "" for t in part.column(2).to_pylist()]
-                meta = [metadata(t, s, g) for t, s, g in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())]
+                meta = np.array([metadata(t, s, g) for t, s, g in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())], dtype=np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *_lists(texts), pa.array(meta, pa.list_(pa.float32()))],
+                    [part.column(0), part.column(1), *_lists(texts), _packed(np.arange(len(texts) + 1, dtype=np.int32) * META, meta.tobytes())],
                     ["id", "row", "ids", "values", "meta"],
                 )
+            pa.default_memory_pool().release_unused()
 
     col = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col, source_col, lang_col).alias("row"), F.col(text_col).alias("text"), col(source_col).alias("source"), col(lang_col).alias("lang"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, ids array<int>, values array<float>, meta array<float>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, ids binary, values binary, meta binary")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang") -> Column:
@@ -221,12 +234,10 @@ def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str | No
 
 def _matrices(batch: pa.RecordBatch | pa.Table, model: Model) -> tuple[Sparse, Sparse]:
     """Both views of a batch with columns ids, values and meta."""
-    column = lambda c: batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c)
-    ids, values, meta = column("ids"), column("values"), column("meta")
+    (ids, ends), (values, _), (meta, _) = (_flat(batch.column(c), k) for c, k in (("ids", np.int32), ("values", np.float32), ("meta", np.float32)))
     n = batch.num_rows
-    x = Sparse(ids.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64)]))
-    dense = (meta.flatten().to_numpy().astype(float).reshape(-1, META) - model.mean) / model.sd
-    return x, Sparse(np.tile(np.arange(META), n), dense.ravel(), np.arange(n + 1) * META)
+    dense = (meta.astype(float).reshape(-1, META) - model.mean) / model.sd
+    return Sparse(ids, values, ends), Sparse(np.tile(np.arange(META), n), dense.ravel(), np.arange(n + 1) * META)
 
 
 def scores(model: Model, batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -266,6 +277,7 @@ def _confident(table: DataFrame, model: Model, sure: float) -> pa.Table:
                                 # sums of whole numbers below 2**53 are exact
                                 into[:-1] += np.bincount(other.ids, np.rint(other.values.astype(float) / UNIT), len(into) - 1).astype(np.int64)
                                 into[-1] += len(mine)
+            pa.default_memory_pool().release_unused()
         for k, d in enumerate(sizes):
             for c in (0, 1):
                 for q in range(PARTS):
@@ -280,7 +292,7 @@ def _confident(table: DataFrame, model: Model, sure: float) -> pa.Table:
 def _labelled(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, labelled_rows: int, labelled_entries: int) -> pa.Table:
     """(id, quality, ids, values, meta) of the labelled documents that are fitted; of an id's texts the one of least row counts."""
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("quality")).dropna().groupBy("id").agg(F.max("quality").alias("quality"))
-    sized = table.select("id", "row", F.size("ids").alias("size")).join(given, "id").groupBy("id").agg(F.min(F.struct("row", "size", "quality")).alias("x"))
+    sized = table.select("id", "row", F.floor(F.octet_length("ids") / 4).alias("size")).join(given, "id").groupBy("id").agg(F.min(F.struct("row", "size", "quality")).alias("x"))
     drawn = sized.select("id", "x.*", F.xxhash64(F.col("id").cast("string"), F.lit(0)).alias("draw")).orderBy("draw", "id").limit(labelled_rows)
     # the limit holds few rows, so one window over them is small
     fits = drawn.withColumn("upto", F.sum("size").over(Window.orderBy("draw", "id"))).where(F.col("upto") <= labelled_entries).select(F.col("id").alias("chosen"), F.col("row").alias("chosen_row"), "quality")
@@ -304,7 +316,7 @@ def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     prior = (good + 1) / (len(y) + 2)
     if min(good, len(y) - good) < 4:
         return Model(float(prior), stats={"labelled": len(y)})
-    meta = data["meta"].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, META)
+    meta = _flat(data["meta"], np.float32)[0].astype(float).reshape(-1, META)
     model = Model(float(prior), mean=meta.mean(axis=0), sd=np.maximum(meta.std(axis=0), 0.05), stats={"labelled": len(y), "exchanged": [0, 0]})
     data_views = _matrices(data, model)
     # every class is split alike between fitting and calibration
