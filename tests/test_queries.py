@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators import grid, samples
+from tidegrid.functions import tails
+from tidegrid.operators import glm, grid, models, regions, samples
 from tidegrid.plans import registry
 from tidegrid.streaming import incremental
 
@@ -111,3 +112,54 @@ def test_spanning_forest(spark):
             tree = [tree[a] if t == tree[b] else t for t in tree]
     assert {(x.src, x.dst, x.w) for x in made.collect()} == expected
     assert grid.spanning_forest(spark.createDataFrame([], "src long, dst long, w double")).count() == 0
+
+
+def test_degenerate_units_fail_alone(spark):
+    rows = spark.createDataFrame([("same", 1.0, 2.0, 0.0, 1), ("same", 1.0, 2.0, 0.0, 2), ("one", 3.0, 1.0, 1.0, 1), ("good", 1.0, 2.0, 1.0, 1), ("good", 2.0, 5.0, 2.0, 2), ("good", 4.0, 1.0, 1.0, 3), ("good", 3.0, 2.0, 3.0, 4)], "u string, x double, y double, s double, t int")
+    got = lambda df: {r.u: r for r in df.collect()}
+    assert got(samples.grubb(rows, ["u"], "x"))["same"].grubb == 0
+    assert got(samples.two_sample(rows, ["u"], "x", F.col("t") > 1))["same"].t == 0
+    assert got(samples.weighted_mean(rows, ["u"], "y", "s"))["same"].mean is None
+    fits = got(glm.simple_ols(rows, ["u"], "x", "y"))
+    assert fits["same"].slope is None and fits["good"].t_slope is not None
+    twice = got(glm.ols(rows.withColumn("z", 2 * F.col("x")), ["u"], ["x", "z"], "y"))
+    assert twice["good"].b_x is None
+    assert got(glm.ar1(rows.withColumn("r", F.lit(0.0)), ["u"], "t", "r"))["same"].rho is None
+    assert got(models.results(models.fit(rows.withColumn("one", F.lit(1.0)), ["u"], ["one", "x"], "y"), ["u"], 2))["one"].r2 is None
+
+
+def test_long_chains(spark):
+    """Rounds are the logarithm of the length, and their plans don't grow."""
+    n = 300
+    chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"))
+    assert {r.label for r in grid.components(spark.range(n), chain).collect()} == {0}
+    tree = spark.range(n).select("id", F.greatest(F.lit(0), F.col("id") - 1).alias("parent"))
+    assert {r.id: r.d for r in grid.ancestors(tree).groupBy("id").agg(F.max("steps").alias("d")).collect()} == {i: i for i in range(n)}
+    assert grid.spanning_forest(chain).count() == n - 1
+
+
+def test_pca_against_numpy(spark):
+    x = np.random.default_rng(5).normal(size=(40, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1])
+    rows = spark.createDataFrame([(u, t, float(x[u, t])) for u in range(40) for t in range(6)], "u int, t int, y double")
+    shares, vectors, scores = regions.pca(rows, "u", "t", "y", 2)
+    c = x - x.mean(axis=0)
+    s = np.linalg.svd(c, compute_uv=False) ** 2
+    assert np.allclose(shares, s[:2] / s.sum())
+    got = {(r.u, r.component): r.score for r in scores.collect()}
+    assert np.allclose([[got[u, k] for k in (0, 1)] for u in range(40)], c @ np.array(vectors).T)
+
+
+def test_tails_far_out(spark):
+    rows = spark.createDataFrame([(z,) for z in (-40.0, -8.0, -1.0, 0.0, 1.0, 5.0, 7.5, 12.0, 30.0)], "z double").select("z", tails.norm_sf(F.col("z")).alias("p"))
+    for r in rows.withColumn("back", tails.norm_isf(F.col("p"))).collect():
+        assert math.isclose(r.p, math.erfc(r.z / math.sqrt(2)) / 2, rel_tol=1e-11)
+        assert abs(r.z) > 7.9 and r.z < 0 or math.isclose(r.back, r.z, rel_tol=1e-8, abs_tol=1e-8)
+    assert spark.range(1).select(tails.z_score(F.lit(None).cast("double")).alias("z")).first().z == 0
+    t = spark.createDataFrame([(x,) for x in (-3.0, 0.0, 0.5, 20.0)], "t double").select("t", tails.t_sf(F.col("t"), F.lit(1)).alias("p"))
+    assert all(math.isclose(r.p, 0.5 - math.atan(r.t) / math.pi, rel_tol=1e-9) for r in t.collect())
+
+
+def test_intrinsic_volumes_of_boxes(spark):
+    box = spark.range(4 * 3).select((F.col("id") % 4).alias("i"), F.floor(F.col("id") / 4).alias("j"))
+    r = regions.intrinsic_volumes(box, ["i", "j"], [2.0, 0.5]).first()
+    assert np.allclose([r.mu0, r.mu1, r.mu2], [1, 7, 6])
