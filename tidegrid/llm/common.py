@@ -21,8 +21,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-#: Bits of the hashes that a bit set tells apart: 2**22 bits are 512 kB at any corpus size.
-SET_BITS = 22
+#: Bits of the hashes that a bit set tells apart: 2**20 bits are 128 kB at any corpus size. The set is printed
+#: in full in the descriptions of plans, which the driver keeps, so it is small.
+SET_BITS = 20
 
 
 def bit_set(rows: DataFrame, hashed: Column, bits: int = SET_BITS) -> Column:

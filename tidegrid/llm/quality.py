@@ -19,14 +19,14 @@ from pyspark.sql.window import Window
 from .common import stored, without_rows
 
 #: Labelled rows that are fitted at most, and entries of their features together. They are chosen by a hash of the id.
-LABELLED_ROWS, LABELLED_ENTRIES = 3_000, 4_000_000
+LABELLED_ROWS, LABELLED_ENTRIES = 3_000, 2_000_000
 ROUNDS = 3
 #: Parts, by a hash, into which each class of pseudo-labelled documents is summed; their means are fitted.
 PARTS = 4
 #: What the pseudo-labelled documents of a round weigh against the labelled ones.
 PSEUDO_WEIGHT = 0.5
-#: A view labels a document for the other one when it is this sure.
-CONFIDENT = 0.97
+#: A view labels a document for the other one when it is this sure, or as sure as of this share of the held-out rows, at either end: a weak view is seldom surer.
+CONFIDENT, TAIL = 0.97, 0.05
 #: Share of the labelled rows that are held out to calibrate the views.
 HELD_OUT = 0.3
 DIMENSION = 1 << 15
@@ -156,6 +156,9 @@ class View:
     bias: float
     slope: float
     offset: float
+    #: Probabilities from which on, and up to which, the view labels documents.
+    high: float = 1.0
+    low: float = 0.0
 
 
 @dataclass
@@ -250,7 +253,7 @@ def scores(model: Model, batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.round(np.stack([*map(_sigmoid, odds), _sigmoid(odds[0] + odds[1] - prior)], axis=1), 9)
 
 
-def _confident(table: DataFrame, model: Model, sure: float) -> pa.Table:
+def _confident(table: DataFrame, model: Model) -> pa.Table:
     """(view, label, part, feature, total, n): sums of what the views label for each other, over all of table(row, ids, values, meta).
 
     view is the one that learns. Sums are of whole multiples of UNIT, so their order has no part in them,
@@ -268,7 +271,7 @@ def _confident(table: DataFrame, model: Model, sure: float) -> pa.Table:
                 m, p = _matrices(piece, held.value), scores(held.value, piece)
                 part = piece.column("row").to_numpy() % PARTS
                 for k in (0, 1):
-                    for c, chosen in ((1, p[:, k] >= sure), (0, p[:, k] <= 1 - sure)):
+                    for c, chosen in ((1, p[:, k] >= held.value.views[k].high), (0, p[:, k] <= held.value.views[k].low)):
                         for q in range(PARTS):
                             mine = np.flatnonzero(chosen & (part == q))
                             if len(mine):
@@ -336,20 +339,24 @@ def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         target = np.concatenate([y[base], np.array([c for _, _, c, _ in extra[k]], dtype=int)])
         weight = np.concatenate([np.ones(len(base)), np.array([w for _, _, _, w in extra[k]])])
         w, b = fit(Sparse(np.concatenate(ids), np.concatenate(values), ends), target, weight, sizes[k])
-        return View(w, b, *platt(data_views[k].rows(judged).dot(w) + b, y[judged]))
+        score = data_views[k].rows(judged).dot(w) + b
+        slope, offset = platt(score, y[judged])
+        low, high = np.quantile(np.round(_sigmoid(slope * score + offset), 9), [TAIL, 1 - TAIL])
+        return View(w, b, slope, offset, float(min(sure, high)), float(max(1 - sure, low)))
 
     model.views = [refit(0), refit(1)]
     for _ in range(rounds):
-        sums = _confident(table, model, sure).to_pandas()
+        found = _confident(table, model)
+        view, label, part, feature, total = (found[c].to_numpy() for c in ("view", "label", "part", "feature", "total"))
         for k in (0, 1):
-            mine, extra[k] = sums[sums["view"] == k], []
-            n = {(r.label, r.part): r.total for r in mine[mine["feature"] < 0].itertuples()}
-            both = {c for c, _ in n} == {0, 1}
-            for (c, q), found in sorted(n.items()) if both else ():
-                cell = mine[(mine["label"] == c) & (mine["part"] == q) & (mine["feature"] >= 0)].sort_values("feature")
-                all_of_class = sum(v for (label, _), v in n.items() if label == c)
-                extra[k].append((cell["feature"].to_numpy(), cell["total"].to_numpy() * UNIT / found, c, PSEUDO_WEIGHT * len(base) * share[c] * found / all_of_class))
-            model.stats["exchanged"][1 - k] = int(sum(n.values()))
+            counts = {(int(label[i]), int(part[i])): int(total[i]) for i in np.flatnonzero((view == k) & (feature < 0))}
+            extra[k] = []
+            for (c, q), n in sorted(counts.items()) if {c for c, _ in counts} == {0, 1} else ():
+                cell = np.flatnonzero((view == k) & (label == c) & (part == q) & (feature >= 0))
+                cell = cell[np.argsort(feature[cell])]
+                all_of_class = sum(v for (other, _), v in counts.items() if other == c)
+                extra[k].append((feature[cell], total[cell] * UNIT / n, c, PSEUDO_WEIGHT * len(base) * share[c] * n / all_of_class))
+            model.stats["exchanged"][1 - k] = sum(counts.values())
         model.views = [refit(0), refit(1)]
     return model
 
