@@ -68,3 +68,16 @@ def test_near_copies_against_brute_force(spark, group):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     got = {x.id: x.component for x in shingles.near_copies(rows, group=group).collect()}
     assert n > 5 and got == {d: find(d) for d in ids}
+
+
+def test_near_copies_that_share_a_long_passage(spark):
+    """200 texts share four fifths of their words; a few of them have near copies besides."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(5000)}"
+    passage = [word() for _ in range(160)]
+    texts = {i: passage + [word() for _ in range(40 + i % 7)] for i in range(200)}
+    for i in range(10):
+        texts[1000 + i] = texts[i][:-5] + [word() for _ in range(5)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {x.id: x.component for x in shingles.near_copies(docs, group=8).collect()}
+    assert got == {i: i % 1000 for i in texts}

@@ -21,19 +21,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-#: Bits of the hashes that a bit set tells apart: 2**20 bits are 128 kB at any corpus size. The set is printed
-#: in full in the descriptions of plans, which the driver keeps, so it is small.
+#: Bits of the hashes that a bit set tells apart: 2**20 bits are 128 kB at any corpus size.
 SET_BITS = 20
 
 
 def bit_set(rows: DataFrame, hashed: Column, bits: int = SET_BITS) -> Column:
-    """A constant array of longs with the lowest `bits` bits of the hashes as a set. At most 2**(bits - 6) rows come to the driver."""
+    """An array of longs with the lowest `bits` bits of the hashes as a set: a scalar subquery of one stored row.
+
+    Its value reaches the tasks when a query starts and is no part of the plan's text, which the driver keeps.
+    """
     low = hashed.bitwiseAND(F.lit((1 << bits) - 1))
     words = rows.select(low.alias("low")).groupBy(F.shiftright("low", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("held"))
-    dense = ["0"] * (1 << (bits - 6))
-    for word, held in words.collect():
-        dense[word] = str(held)
-    return F.split(F.lit(",".join(dense)), ",").cast("array<bigint>")  # constant, so folded once
+    every = rows.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("held"))
+    dense = every.union(words).groupBy("word").agg(F.bit_or("held").alias("held"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("word", "held"))), lambda x: x["held"])
+    return stored(dense.agg(in_order.alias("held")), "bit-set").scalar()
 
 
 def bit_test(hashed: Column, held: Column, bits: int = SET_BITS) -> Column:
