@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, without_rows
+from .common import small_batches, stored, without_rows
 
 #: Labelled rows that are fitted at most, and entries of their features together. They are chosen by a hash of the id.
 LABELLED_ROWS, LABELLED_ENTRIES = 3_000, 2_000_000
@@ -382,8 +382,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: st
 
     Texts are read once: their features are written to the shared folder, and training and scoring read those.
     """
-    table = stored(features(docs, id_col, text_col, source_col, lang_col), "quality-features")
-    return judged(table, train(table, labels, id_col, label_col, **bounds), threshold)
+    with small_batches(docs.sparkSession):
+        table = stored(features(docs, id_col, text_col, source_col, lang_col), "quality-features")
+        return stored(judged(table, train(table, labels, id_col, label_col, **bounds), threshold), "quality-scores")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", **bounds) -> DataFrame:
