@@ -27,14 +27,15 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidegrid-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, row_group_bytes: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and a lost executor loses nothing.
 
     The size estimate starts again from the files, so plans stay small in loops that join their own results.
+    A task holds a row group while it writes or reads one: row_group_bytes bounds it for tables of wide rows.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.size": row_group_bytes} if row_group_bytes else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
