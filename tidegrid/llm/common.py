@@ -22,14 +22,16 @@ BATCH_ROWS = 512
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Queries that run inside pass at most so many rows to Python at a time, so memory does not follow the rows of a partition."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """Queries that run inside decode at most so many rows of Parquet, and pass at most so many to Python, at a time, so memory does not follow the rows of a partition."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, held in before.items():
+        spark.conf.set(key, str(min(rows, int(held)) if int(held) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, held in before.items():
+            spark.conf.set(key, held)
 
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

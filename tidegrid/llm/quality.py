@@ -38,6 +38,8 @@ CACHE_WORDS = 60_000
 LONG_TOKEN = 32
 #: Entries of the training data that are worked on at a time.
 BLOCK = 1 << 18
+#: Rows of features that are scored or summed at a time, and what a task holds of their table while it writes or reads it.
+SCORED_ROWS, ROW_GROUP = 256, 16 << 20
 
 
 def word_features(word: str) -> list[int]:
@@ -266,8 +268,8 @@ def _confident(table: DataFrame, model: Model) -> pa.Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [[[np.zeros(d + 1, dtype=np.int64) for _ in range(PARTS)] for _ in (0, 1)] for d in sizes]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                piece = batch.slice(at, SCORED_ROWS)
                 m, p = _matrices(piece, held.value), scores(held.value, piece)
                 part = piece.column("row").to_numpy() % PARTS
                 for k in (0, 1):
@@ -367,8 +369,8 @@ def judged(table: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(at, SCORED_ROWS)
                 p = scores(held.value, part)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), *[pa.array(p[:, k]) for k in range(3)]], ["id", "row", "p_content", "p_metadata", "p_quality"])
 
@@ -383,7 +385,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: st
     Texts are read once: their features are written to the shared folder, and training and scoring read those.
     """
     with small_batches(docs.sparkSession):
-        table = stored(features(docs, id_col, text_col, source_col, lang_col), "quality-features")
+        table = stored(features(docs, id_col, text_col, source_col, lang_col), "quality-features", ROW_GROUP)
         return stored(judged(table, train(table, labels, id_col, label_col, **bounds), threshold), "quality-scores")
 
 
