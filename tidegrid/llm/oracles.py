@@ -38,3 +38,13 @@ def license_scan() -> str:
     l as (select doc_id, count(*) as n, ',' || string_agg(x.best.sid, ',' order by n) || ',' as line from r group by 1),
     j as (select doc_id, n, line[2:-2] as sentence_ids, array_to_string(list_sort(list_distinct([x for x in [{rules}] if x is not null])), ',') as licenses from l)
     select d.doc_id, coalesce(n, 0)::bigint as n_sentences, coalesce(sentence_ids, '') as sentence_ids, coalesce(licenses, '') as licenses from documents d left join j using (doc_id)"""
+
+
+def lexical_search(k: int = 10) -> str:
+    """All scores of all documents that share a term with an item, then the best of each."""
+    terms = rf"list_filter(string_split_regex(translate(coalesce({{}}, ''), '{ASCII_UPPER}', '{ASCII_UPPER.lower()}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""with d as (select row_number() over () as r, doc_id, {terms.format("text")} as t from documents), s as (select count(*) filter (len(t) > 0) as big_n, sum(len(t))::bigint as big_l from d),
+    p as (select r, doc_id, term, count(*) as tf, any_value(n) as n from (select r, doc_id, len(t) as n, unnest(t) as term from d) group by all), w as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)))::bigint as w from p, s group by term, big_n),
+    q as (select distinct item_id, unnest({terms.format("text")}) as term from benchmark),
+    x as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))))::bigint as score from q join p using (term) join w using (term), s group by all)
+    select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank, doc_id, score from x where score > 0 qualify rank <= {k}"""
