@@ -48,3 +48,33 @@ def lexical_search(k: int = 10) -> str:
     q as (select distinct item_id, unnest({terms.format("text")}) as term from benchmark),
     x as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))))::bigint as score from q join p using (term) join w using (term), s group by all)
     select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank, doc_id, score from x where score > 0 qualify rank <= {k}"""
+
+
+def conversation_repair() -> str:
+    """The cheapest edits row by row: of each state after a row, the least cost and, of equal costs, the least audit."""
+    word = lambda name: f"coalesce({name}::varchar, ' ')"
+    spaces = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    return rf"""with recursive crc_table as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n)) as t),
+    raw as (select conv_id, turn, {word("role")} as role, {word("text")} as text, {word("conv_id")} || ':' || {word("turn")} as key from conversations),
+    drawn as (select raw.*, xor(4294967295, list_reduce(list_transform(string_split(key, ''), lambda x: ord(x)::bigint), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) % 20 as k from raw, crc_table),
+    hurt as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case k when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when k = 3 then [0, 1] else [0] end) as copy from drawn where k <> 0),
+    o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, rtrim(text, {spaces}) as kept, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as initial from hurt),
+    f as (select *, case when kept = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when right(kept, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault, lag(initial) over (partition by conv_id order by i) || initial as pair from o),
+    n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+      count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as last from f group by 1),
+    -- states: nothing written, s, ends in u, ends in a
+    reach as (select * from (values (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)) t(q, z, n)),
+    moves as (select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) t(q, role, z)),
+    edits as (select q, null as initial, 'D' as letter, 3 as cost, '' as role, q as z from range(4) t(q) union all select q, role, 'K', 0, role, z from moves union all select q, null, 'R', 2, role, z from moves where role in ('u', 'a')),
+    steps as (select e.q, e.initial, e.letter, e.cost + 2 * r.n as cost, r.z, e.letter || repeat('I', r.n) as audit, e.z as mid, e.role from edits e join reach r on e.z = r.q),
+    walk as (select conv_id, 0::bigint as i, z, struct_pack(cost := (2 * n)::bigint, audit := repeat('I', n)) as best from n as c, reach where q = 0
+      union all select w.conv_id, w.i + 1, s.z, min(struct_pack(cost := w.best.cost + s.cost + case when f.fault = 'truncated' and s.letter <> 'D' then 1 else 0 end, audit := w.best.audit || s.audit))
+      from walk w join f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1 join steps s on s.q = w.z and (s.initial is null or s.initial = f.initial) and (s.letter = 'D' or f.fault not in ('blank', 'duplicate')) group by w.conv_id, w.i, s.z),
+    done as (select n.conv_id, min(best) as best from walk w join n on n.conv_id is not distinct from w.conv_id and n.last = w.i where z in (0, 3) group by 1),
+    letters as (select conv_id, unnest(string_split(best.audit, '')) as letter, generate_subscripts(string_split(best.audit, ''), 1) as p from done where best.audit <> ''),
+    placed as (select *, count(*) filter (letter <> 'I') over (partition by conv_id order by p) as i from letters),
+    spoken as (select p.conv_id, p.p, letter, case when letter = 'I' then '' else f.role end as role, case when letter = 'I' then '' else f.text end as text, case when letter = 'I' then '' else f.initial end as initial from placed p join f on f.conv_id is not distinct from p.conv_id and f.i = greatest(p.i, 1) where letter <> 'D'),
+    turns as (select *, row_number() over (partition by conv_id order by p) - (first(initial = 's' and letter = 'K') over (partition by conv_id order by p))::int as place from spoken),
+    said as (select conv_id, sha256(string_agg(case when letter = 'K' then role when place % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by p)) as h from turns group by 1)
+    select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+    from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join done d on d.conv_id is not distinct from c.conv_id left join said s on s.conv_id is not distinct from c.conv_id"""

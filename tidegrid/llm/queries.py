@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, lexical, licenses, lines, oracles, pieces, pii, quality, sharding, simhash
+from . import chat, decontam, imatch, lexical, licenses, lines, oracles, pieces, pii, quality, repair, sharding, simhash
 from .common import text_or_empty
 
 
@@ -95,11 +95,15 @@ def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
-ORACLES: dict[str, str] = {"op7_license_scan": oracles.license_scan(), "op9_benchmark_decontamination": oracles.decontamination(), "op11_block_max_wand": oracles.lexical_search()}
+ORACLES: dict[str, str] = {"op7_license_scan": oracles.license_scan(), "op9_benchmark_decontamination": oracles.decontamination(), "op11_block_max_wand": oracles.lexical_search(), "op12_conversation_repair": oracles.conversation_repair()}
 
 
 def oracle_sql() -> dict[str, str]:
