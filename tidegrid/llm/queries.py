@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, lexical, licenses, lines, oracles, pieces, pii, quality, repair, sharding, simhash
+from . import chat, decontam, imatch, lexical, licenses, lines, mixing, oracles, pieces, pii, quality, repair, sharding, simhash
 from .common import text_or_empty
 
 
@@ -99,6 +99,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(table(spark, sf_dir, "conversations"))
 
 
+def op13_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1))
+    return made.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
