@@ -29,7 +29,7 @@ RUN_DOCS, RUN_TERMS = 512, 1 << 18
 BLOCK = 128
 #: Rows of the batches that tasks write.
 OUT_ROWS = 2048
-#: Stretches between block ends that the first move takes; each later move takes twice as many as the one before.
+#: Stretches of one bound that the first move takes; each later move takes twice as many as the one before.
 FIRST_MOVE = 8
 
 
@@ -98,23 +98,25 @@ class Postings:
 def best(lists: list[Postings], weights: list[int], ties: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(documents, scores) of the k highest scores above 0 of a shard; of equal scores those of lower ties.
 
-    The documents between two block ends of any list share one upper bound, the weighted sum of the
-    largest impacts of the blocks that they fall into. Pointers move over these stretches by the bounds
-    alone. A stretch under the threshold, the k-th score so far, is passed over, and a block is
-    decompressed only if a stretch that reaches the threshold lies in it. The first move goes to the
+    A pointer stands on a document of a list of one block and on a block of a longer list. The documents
+    between two places where a pointer moves share one upper bound: the weighted sum of the impacts
+    there, or of the largest ones of the blocks that they fall into. Pointers move over these stretches
+    by the bounds alone. A stretch under the threshold, the k-th score so far, is passed over, and a block
+    is decompressed only if a stretch that reaches the threshold lies in it. The first move goes to the
     stretches of highest bounds, so that the threshold is high from then on; the later ones go on in
     the order of documents.
     """
     docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not lists:
         return docs, scores
-    ends = np.unique(np.concatenate([x.last for x in lists]))
+    # (first and last documents of a list's pieces, their largest impacts)
+    pieces = [(x.block(0)[0], *x.block(0)) if len(x.last) == 1 else (np.concatenate([[0], x.last[:-1] + 1]), x.last, x.top) for x in lists]
+    ends = np.unique(np.concatenate([np.concatenate([since[since > 0] - 1, last]) for since, last, _ in pieces]))
     change = np.zeros(len(ends) + 1, np.int64)
-    for x, w in zip(lists, weights):
-        stop = np.searchsorted(ends, x.last) + 1
-        value = x.top.astype(np.int64) * w
-        np.add.at(change, np.concatenate([[0], stop[:-1]]), value)
-        np.add.at(change, stop, -value)
+    for (since, last, top), w in zip(pieces, weights):
+        value = top.astype(np.int64) * w
+        np.add.at(change, np.searchsorted(ends, since), value)
+        np.add.at(change, np.searchsorted(ends, last) + 1, -value)
     bound = np.cumsum(change)[:-1]
     left = np.ones(len(ends), bool)
     threshold, move, first = 1, FIRST_MOVE, True

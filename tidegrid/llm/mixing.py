@@ -139,7 +139,7 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.0, longer: f
     are ranked by random odds over inclusion odds, u (1 - p) / ((1 - u) p), and taken in that order while
     they fit into the words that the source still has to bring: a Pareto order sample whose fixed size is
     in words. Where the words run out, the next TAIL documents or so are tried one by one, so the sum is
-    short of the target by less than most of those documents.
+    short of the target by less than most of those documents; short ones have a little more chance there.
 
     The draw u is a hash of seed, id and size, so reruns agree; rows with equal id and size are taken
     together or not at all. A null text has no words and is taken as 0 of them; the null source is a
