@@ -20,26 +20,24 @@ def simple_ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return sums.withColumn("s2", s2).select(*by, "n", "slope", "intercept", "s2", "sxx", F.try_divide(F.col("slope"), F.sqrt(F.try_divide("s2", "sxx"))).alias("t_slope"))
 
 
-def solve_symmetric(a: list[list[Column]], b: list[Column]) -> list[Column]:
-    """Gaussian elimination over columns, for the positive definite normal equations of few predictors.
+def solve_symmetric(a: Sequence[Sequence[Column]], b: Sequence[Column]) -> Column:
+    """The solution, an array, of the normal equations a x = b of columns, by elimination; null if a predictor is collinear.
 
-    A pivot that elimination has brought below 1e-11 of its diagonal shows a collinear predictor: all coefficients are null.
+    The equations are an array of rows that an aggregate eliminates pivot by pivot, so the expression is as
+    large as its input. Only the upper half of a is read; a is positive definite. A pivot that elimination
+    has brought below 1e-11 of its diagonal shows a collinear predictor.
     """
     n = len(b)
-    a, b, own = [row[:] for row in a], b[:], [a[k][k] for k in range(len(b))]
-    fit = lambda k: F.when(a[k][k] > 1e-11 * own[k], a[k][k])
-    for k in range(n):
-        for i in range(k + 1, n):
-            f = a[i][k] / fit(k)
-            a[i] = [a[i][j] - f * a[k][j] if j > k else F.lit(0.0) for j in range(n)]
-            b[i] = b[i] - f * b[k]
-    out: list[Column] = [F.lit(0.0)] * n
-    for i in reversed(range(n)):
-        rest = b[i]
-        for j in range(i + 1, n):
-            rest = rest - a[i][j] * out[j]
-        out[i] = rest / fit(i)
-    return out
+    rows = F.array(*[F.array(*[a[min(i, j)][max(i, j)].cast("double") for j in range(n)], b[i].cast("double")) for i in range(n)])
+
+    def eliminated(m: Column, k: Column) -> Column:
+        pivot = F.get(m, k)
+        scaled = F.transform(pivot, lambda x: x / F.get(pivot, k))
+        bad = ~(F.get(pivot, k) > 1e-11 * F.get(F.get(rows, k), k)) | F.get(pivot, k).isNull()
+        # x - f y of every row but the pivot's
+        return F.when(~bad, F.transform(m, lambda row, i: F.when(i == k, scaled).otherwise(F.zip_with(row, scaled, lambda x, y: x - F.get(row, k) * y))))
+
+    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, eliminated), lambda row: F.get(row, F.lit(n)))
 
 
 def ols(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
@@ -56,7 +54,7 @@ def ols(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, weight: str
     sums = centred.groupBy(*by).agg(*[F.first(c).alias(c) for c in means.columns if c not in by], *[F.sum(w * d(a) * d(b)).alias(f"__s_{a}_{b}") for a, b in pairs])
     s = lambda a, b: F.col(f"__s_{a}_{b}" if (a, b) in pairs else f"__s_{b}_{a}")
     beta = solve_symmetric([[s(a, b) for b in xs] for a in xs], [s(a, y) for a in xs])
-    fitted = sums.select("*", *[v.alias(f"b_{x}") for x, v in zip(xs, beta)])
+    fitted = sums.withColumn("__beta", beta).select("*", *[F.col("__beta")[k].alias(f"b_{x}") for k, x in enumerate(xs)])
     intercept, sse = F.col(f"__m_{y}"), s(y, y)
     for x in xs:
         intercept, sse = intercept - F.col(f"b_{x}") * F.col(f"__m_{x}"), sse - F.col(f"b_{x}") * s(x, y)
@@ -89,8 +87,8 @@ def yule_walker(df: DataFrame, by: Sequence[str], t: str, x: str, order: int = 2
     lags = centred.select(*by, "__c", *[F.lag("__c", k).over(w.orderBy(t)).alias(f"__l{k}") for k in range(1, order + 1)])
     cov = lags.groupBy(*by).agg((F.sum(F.col("__c") ** 2) / F.count("*")).alias("__r0"), *[(F.sum(F.col("__c") * F.col(f"__l{k}")) / F.count("*")).alias(f"__r{k}") for k in range(1, order + 1)])
     r = lambda k: F.col(f"__r{abs(k)}")
-    rho = solve_symmetric([[r(i - j) for j in range(order)] for i in range(order)], [r(k) for k in range(1, order + 1)])
-    sigma2 = F.col("__r0")
+    cov = cov.withColumn("__rho", solve_symmetric([[r(i - j) for j in range(order)] for i in range(order)], [r(k) for k in range(1, order + 1)]))
+    rho, sigma2 = [F.col("__rho")[k] for k in range(order)], F.col("__r0")
     for k, v in enumerate(rho, 1):
         sigma2 = sigma2 - v * r(k)
     return cov.select(*by, *[v.alias(f"rho{k}") for k, v in enumerate(rho, 1)], sigma2.alias("sigma2"))
@@ -138,5 +136,5 @@ def irls(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, family: st
             *[F.sum(F.col("__w") * value[i] * value[j]).alias(f"__s{i}_{j}") for i in size for j in size if i <= j], *[F.sum(F.col("__w") * value[i] * z).alias(f"__z{i}") for i in size]
         )
         beta = solve_symmetric([[F.col(f"__s{min(i, j)}_{max(i, j)}") for j in size] for i in size], [F.col(f"__z{i}") for i in size])
-        now = cut(sums.select(*by, *[b.alias(c) for b, c in zip(beta, names)]))
+        now = cut(sums.withColumn("__beta", beta).select(*by, *[F.col("__beta")[k].alias(c) for k, c in enumerate(names)]))
     return now

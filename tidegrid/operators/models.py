@@ -3,39 +3,92 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.tails import f_sf, t_sf
 from .glm import ar1, ar1_bin, solve_symmetric
 
 
+def _solved(n: int, m: np.ndarray, s: np.ndarray, constant: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(beta, cov, sse) from means m and centred sums of products s of the columns and, last, y; constant holds the value of a column that does not vary, else NaN."""
+    p = len(m) - 1
+    fixed = np.flatnonzero(~np.isnan(constant) & (constant != 0))
+    free = np.delete(np.arange(p), fixed[0]) if len(fixed) else np.arange(p)
+    # with a constant among the columns the others are fitted about their means, else about 0
+    a = s[np.ix_(free, free)] + (0 if len(fixed) else n * np.outer(m[free], m[free]))
+    scale = np.sqrt(np.diag(a))
+    if not (scale > 0).all():
+        return None
+    try:
+        root = np.linalg.cholesky(a / np.outer(scale, scale))
+    except np.linalg.LinAlgError:
+        return None
+    if len(free) and np.diag(root).min() ** 2 < 1e-11:
+        return None
+    half = np.linalg.inv(root) / scale
+    inverse, sy = half.T @ half, s[free, p]
+    beta = inverse @ sy
+    sse = max(0.0, float(s[p, p] - beta @ sy))
+    if len(fixed):
+        c, k = constant[fixed[0]], fixed[0]
+        out, cov = np.empty(p), np.empty((p, p))
+        out[free], out[k] = beta, (m[p] - beta @ m[free]) / c
+        cov[np.ix_(free, free)] = inverse
+        cov[k, free] = cov[free, k] = -(inverse @ m[free]) / c
+        cov[k, k] = (1 / n + m[free] @ inverse @ m[free]) / c**2
+        return out, cov, sse
+    # y is its mean times a 1 beside what varies; the part of that 1 which the columns leave over is a residual too
+    ones = n * m[free]
+    gamma = inverse @ ones
+    left = n - ones @ gamma
+    if left > 1e-10 * n:
+        sse = max(0.0, sse - 2 * m[p] * (ones @ beta) + m[p] ** 2 * left)
+    return beta + m[p] * gamma, inverse, sse
+
+
 def fit(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
     """(by, n, beta, cov, sse, sst, ssu): least squares of y on the columns xs, which hold the constant if there is to be one.
 
     beta is an array; cov the inverse of the normal equations, an array of rows; sst the sum of squares
-    about the mean, ssu about 0. One aggregation of sums. Rows with a null are left out. Collinear
-    columns give null coefficients.
+    about the mean, ssu about 0. Two aggregations: means, then centred sums of products, so that large
+    offsets of y, and of the columns if one of them is constant, cost no digits. The equations of a unit
+    are one row, which numpy solves. Rows with a null are left out. Collinear columns give null
+    coefficients.
     """
-    by, p = list(by), len(xs)
-    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*xs, y])]).dropna(subset=[*xs, y])
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    s = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"__s{i}_{j}") for i, j in pairs], *[F.sum(F.col(x) * F.col(y)).alias(f"__y{i}") for i, x in enumerate(xs)],
-        F.sum(F.col(y) * F.col(y)).alias("ssu"), F.sum(y).alias("__sy"),
-    )
-    a = [[F.col(f"__s{min(i, j)}_{max(i, j)}") for j in range(p)] for i in range(p)]
-    unit = lambda k: [F.lit(1.0 if i == k else 0.0) for i in range(p)]
-    inverse = [solve_symmetric(a, unit(k)) for k in range(p)]
-    s = s.withColumn("cov", F.array(*[F.array(*column) for column in inverse]))
-    entry = lambda i, j: F.col("cov")[i][j]
-    beta = [sum((entry(i, j) * F.col(f"__y{j}") for j in range(p)), F.lit(0.0)) for i in range(p)]
-    s = s.withColumn("beta", F.array(*beta))
-    sse = F.col("ssu") - sum((F.col("beta")[i] * F.col(f"__y{i}") for i in range(p)), F.lit(0.0))
-    return s.select(*by, "n", "beta", "cov", F.greatest(sse, F.lit(0.0)).alias("sse"), (F.col("ssu") - F.col("__sy") * F.col("__sy") / F.col("n")).alias("sst"), "ssu")
+    by, p, names = list(by), len(xs), [*xs, y]
+    rows = df.select(*by, F.array(*[F.col(c).cast("double") for c in names]).alias("__v")).where(~F.exists("__v", lambda v: v.isNull()))
+    v = [F.col("__v")[i] for i in range(p + 1)]
+    means = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(x) for x in v]).alias("__m"), F.array(*[F.when(F.min(x) == F.max(x), F.min(x)) for x in v[:p]]).alias("__c"))
+    centred = rows.join(means, by) if by else rows.join(F.broadcast(means))
+    d = centred.select(*by, "n", "__m", "__c", F.zip_with("__v", "__m", lambda a, b: a - b).alias("__d"))
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = d.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("n", "__m", "__c")], F.array(*[F.sum(F.col("__d")[i] * F.col("__d")[j]) for i, j in pairs]).alias("__s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = np.triu_indices(p + 1)
+        for batch in batches:
+            out = []
+            for n, m, c, s in zip(*(batch.column(len(by) + k).to_pylist() for k in range(4))):
+                full = np.zeros((p + 1, p + 1))
+                full[upper] = s
+                full = full + np.triu(full, 1).T
+                found = _solved(n, np.array(m), full, np.array(c, dtype=float))
+                ends = (full[p, p], full[p, p] + n * m[p] ** 2)
+                out.append((n, found[0].tolist(), found[1].tolist(), found[2], *ends) if found else (n, [None] * p, [[None] * p] * p, None, *ends))
+            columns = zip(*out) if out else [[]] * 6
+            kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), *[pa.float64()] * 3]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *[pa.array(x, t) for x, t in zip(columns, kinds)]], [*by, "n", "beta", "cov", "sse", "sst", "ssu"])
+
+    made = [("n", LongType()), ("beta", ArrayType(DoubleType())), ("cov", ArrayType(ArrayType(DoubleType()))), *[(c, DoubleType()) for c in ("sse", "sst", "ssu")]]
+    schema = StructType([*[sums.schema[c] for c in by], *[StructField(c, t) for c, t in made]])
+    return sums.select(*by, "n", "__m", "__c", "__s").mapInArrow(run, schema)
 
 
 def dispersion(p: int) -> Column:
@@ -63,8 +116,8 @@ def f_contrast(fits: DataFrame, by: Sequence[str], rows: Sequence[Sequence[float
     """(by, f, dfn, dfd, p) of a matrix of contrasts of full rank."""
     q, p = len(rows), len(rows[0])
     effect = [_dot(r, F.col("beta")) for r in rows]
-    weight = solve_symmetric([[_between(a, b) for b in rows] for a in rows], effect)
-    quad = sum((e * w for e, w in zip(effect, weight)), F.lit(0.0))
+    fits = fits.withColumn("__e", F.array(*effect)).withColumn("__w", solve_symmetric([[_between(a, b) for b in rows] for a in rows], effect))
+    quad = F.aggregate(F.zip_with("__e", "__w", lambda e, w: e * w), F.lit(0.0), lambda a, x: a + x)
     out = fits.select(*by, F.try_divide(quad / q, dispersion(p)).alias("f"), F.lit(q).alias("dfn"), (F.col("n") - p).alias("dfd"))
     return out.withColumn("p", f_sf(F.col("f"), F.col("dfn"), F.col("dfd")))
 
