@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,20 @@ def gamma_difference_hrf(t: Column, dt: float, delay: float = 6, undershoot: flo
     return gamma_pdf(at, delay / dispersion, dispersion) - ratio * gamma_pdf(at, undershoot / u_dispersion, u_dispersion)
 
 
+def gamma_difference_kernel(tr: float, oversampling: int = 16, length: float = 32.0, onset: float = 0.0, delay: float = 6.0, undershoot: float = 16.0, dispersion: float = 1.0, u_dispersion: float = 1.0, ratio: float = 0.167) -> np.ndarray:
+    """The response over `length` seconds, evenly spaced points as many as steps of tr / oversampling fit, summing to one; onset is in such steps of seconds."""
+    dt = tr / oversampling
+    t = np.linspace(0, length, int(length / dt)) - onset / dt
+
+    def density(shape: float, start: float) -> np.ndarray:
+        x = np.maximum(t - start, 0)
+        with np.errstate(divide="ignore"):
+            return np.where(x > 0, np.exp((shape - 1) * np.log(x) - x - math.lgamma(shape)), 0.0)
+
+    h = density(delay / dispersion, dt / dispersion) - ratio * density(undershoot / u_dispersion, dt / u_dispersion)
+    return h / h.sum()
+
+
 def fwhm2sigma(fwhm: Column) -> Column:
     return fwhm / math.sqrt(8 * math.log(2))
 

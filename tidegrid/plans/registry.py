@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import clusters, fits, graphs, masks, mixed, models, regions, regression, sampling, series, space, trends  # noqa: F401  they register on import
+    from . import clusters, designs, fits, graphs, masks, mixed, models, regions, regression, sampling, series, space, trends  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
