@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import tails
-from tidegrid.operators import glm, grid, models, regions, samples
+from tidegrid.operators import glm, graphs, grid, models, regions, samples
 from tidegrid.plans import registry
 from tidegrid.streaming import incremental
 
@@ -194,3 +194,29 @@ def test_wide_designs_and_offsets(spark):
     assert models.fit(dummies, ["u"], ["x0", "d", "e"], "y").first().beta == [None] * 3
     solved = spark.range(1).select(glm.solve_symmetric([[F.lit(float(a)) for a in row] for row in (x.T @ x)], [F.lit(float(b)) for b in x.T @ y]).alias("b")).first().b
     assert np.allclose(solved, beta, rtol=1e-9)
+
+
+def test_deep_forests(spark):
+    """A chain of 20,000 nodes, whose closure would be 200,000,000 rows, and a random forest against one walk down."""
+    n = 20_000
+    chain = spark.range(n).select("id", F.greatest(F.col("id") - 1, F.lit(0)).alias("parent"), F.lit(1.0).alias("v"))
+    assert grid.below(chain, {"v": ("v", "sum")}).where((F.col("v") != n - F.col("id")) | (F.col("height") != n - 1 - F.col("id"))).count() == 0
+    assert grid.depths(chain).where((F.col("depth") != F.col("id")) | (F.col("root") != 0)).count() == 0
+    assert sorted(map(tuple, graphs.merge_simple_branches(chain).collect())) == [(0, 0), (n - 1, 0)]
+    r = np.random.default_rng(3)
+    parent = {i: int(r.integers(0, i)) if i and r.random() > 0.05 else i for i in range(300)}
+    value = {i: None if r.random() < 0.2 else int(r.integers(0, 3)) for i in parent}
+    table = spark.createDataFrame([(i, p, value[i]) for i, p in parent.items()], "id long, parent long, v int")
+    under = {i: {i} for i in parent}
+    for i in sorted(parent, reverse=True):
+        if parent[i] != i:
+            under[parent[i]] |= under[i]
+    inner = {p for i, p in parent.items() if p != i}
+    for b in grid.below(table, {"s": ("v", "sum"), "a": ("v", "min"), "b": ("v", "max")}).collect():
+        held = [value[i] for i in under[b.id] if value[i] is not None]
+        assert (b.s, b.a, b.b) == ((sum(held), min(held), max(held)) if held else (None, None, None))
+    for x in graphs.propagate_upward(table, "v").collect():
+        held = {value[i] for i in under[x.id] if i not in inner and value[i] is not None}
+        assert x.v == (held.pop() if len(held) == 1 else None)
+    for ids, yes in (([i for i in under[0] if i not in inner], True), ([0, 299], False)):
+        assert graphs.leaves_of_subtree(table, spark.createDataFrame([(i,) for i in ids], "id long")).first().yes is yes

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import stored
-from .grid import VECTOR_BLOCK, ancestors, components, distance, pointer_roots
+from .grid import VECTOR_BLOCK, ancestors, below, components, distance, pointer_roots
 from .ordered import ranked
 
 
@@ -226,7 +226,7 @@ def children(nodes: DataFrame, node: str = "id", parent: str = "parent") -> Data
 
 def depth_from_leaves(nodes: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
     """(node, height): the longest way down to a leaf; leaves have 0."""
-    return ancestors(nodes, node, parent).groupBy(F.col("ancestor").alias(node)).agg(F.max("steps").alias("height"))
+    return below(nodes, {}, node, parent)
 
 
 def subforest(nodes: DataFrame, valid: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
@@ -239,10 +239,11 @@ def subforest(nodes: DataFrame, valid: DataFrame, node: str = "id", parent: str
 def merge_simple_branches(nodes: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
     """The forest without the nodes that have one child: their children go to the nearest node above that stays; a root stays where it is the only one above."""
     n = children(nodes, node, parent)
-    inner = nodes.join(n, node).where((F.col("n") == 1) & (F.col(node) != F.col(parent))).select(node)
-    stay = nodes.select(node).join(inner, node, "left_anti")
-    up = ancestors(nodes, node, parent).where("steps > 0").join(stay.select(F.col(node).alias("ancestor")), "ancestor").groupBy(node).agg(F.min_by("ancestor", "steps").alias("__up"))
-    return stay.join(up, node, "left").select(node, F.coalesce("__up", node).alias(parent))
+    stays = (F.col("n") != 1) | (F.col(node) == F.col(parent))
+    held = stored(nodes.select(node, parent).join(n, node).select(node, parent, stays.alias("__stays")), "branches")
+    # a node that goes points up, one that stays to itself
+    to = pointer_roots(held.select(F.col(node).alias("tree"), F.when(F.col("__stays"), F.col(node)).otherwise(F.col(parent)).alias("root")))
+    return held.where("__stays").join(to, F.col(parent) == F.col("tree")).select(node, F.col("root").alias(parent))
 
 
 def tree_distances(nodes: DataFrame, a: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
@@ -256,7 +257,8 @@ def leaves_of_subtree(nodes: DataFrame, ids: DataFrame, node: str = "id", parent
     """(yes): whether ids are exactly the leaves under some node."""
     leaves = is_leaf(nodes, node, parent).where("leaf").select(node)
     marked = leaves.join(ids.select(F.col(node), F.lit(1).alias("__in")).distinct(), node, "left")
-    under = ancestors(nodes, node, parent).join(marked, node).groupBy("ancestor").agg(F.count("*").alias("all"), F.count("__in").alias("mine"))
+    counted = nodes.select(node, parent).join(marked.withColumn("__leaf", F.lit(1)), node, "left")
+    under = below(counted, {"all": ("__leaf", "sum"), "mine": ("__in", "sum")}, node, parent)
     n = ids.select(node).distinct().agg(F.count("*").alias("n"))
     return under.join(F.broadcast(n)).agg(F.coalesce(F.bool_or((F.col("all") == F.col("n")) & (F.col("mine") == F.col("n"))), F.lit(False)).alias("yes"))
 
@@ -264,9 +266,9 @@ def leaves_of_subtree(nodes: DataFrame, ids: DataFrame, node: str = "id", parent
 def propagate_upward(nodes: DataFrame, label: str, node: str = "id", parent: str = "parent", every: bool = False) -> DataFrame:
     """(node, label) from the leaves' labels: a node has the label of all leaves under it if they agree, else null; every: whether all are true."""
     leaves = is_leaf(nodes, node, parent).where("leaf").select(node)
-    under = ancestors(nodes, node, parent).join(nodes.select(node, label).join(leaves, node), node)
-    held = F.bool_and(label) if every else F.when(F.countDistinct(label) == 1, F.min(label))
-    return under.groupBy(F.col("ancestor").alias(node)).agg(held.alias(label))
+    held = nodes.select(node, parent).join(nodes.select(node, F.col(label).alias("__l")).join(leaves, node), node, "left")
+    under = below(held, {"low": ("__l", "min"), "high": ("__l", "max")}, node, parent)
+    return under.select(node, (F.col("low") if every else F.when(F.col("low") == F.col("high"), F.col("low"))).alias(label))
 
 
 def top_down_order(nodes: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:

@@ -137,6 +137,38 @@ def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent") -> Dat
     return out
 
 
+def below(nodes: DataFrame, values: dict[str, tuple[str, str]], node: str = "id", parent: str = "parent") -> DataFrame:
+    """(node, height, <name>...): the longest way down to a leaf, and for each name a (column, "sum", "min" or "max") of the node and all those below it; nulls don't count. A root is its own parent.
+
+    A node holds what lies less than 1, 2, 4, ... steps below it and gives it to the node that many steps
+    above, so rounds are the logarithm of the depth and each works on one row a node.
+    """
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}
+    both = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "min": F.least, "max": F.greatest}
+    up = F.when(F.col(node) != F.col(parent), F.col(parent))
+    now = stored(nodes.select(F.col(node).alias("__n"), up.alias("__p"), F.lit(0).alias("__h"), *[F.col(c).alias(f"__v{k}") for k, (c, _) in enumerate(values.values())]), "below")
+    size = 1
+    while not now.where("__p is not null").isEmpty():
+        given = now.where("__p is not null").groupBy(F.col("__p").alias("__n")).agg((F.max("__h") + size).alias("__gh"), *[agg[how](f"__v{k}").alias(f"__g{k}") for k, (_, how) in enumerate(values.values())])
+        above = now.where("__p is not null").select(F.col("__n").alias("__p"), F.col("__p").alias("__q"))
+        met = now.join(given, "__n", "left").join(above, "__p", "left")
+        mixed = [both[how](F.col(f"__v{k}"), F.col(f"__g{k}")).alias(f"__v{k}") for k, (_, how) in enumerate(values.values())]
+        now = stored(met.select("__n", F.col("__q").alias("__p"), F.greatest("__h", F.coalesce("__gh", "__h")).alias("__h"), *mixed), "below")
+        size *= 2
+    return now.select(F.col("__n").alias(node), F.col("__h").alias("height"), *[F.col(f"__v{k}").alias(c) for k, c in enumerate(values)])
+
+
+def depths(nodes: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
+    """(node, root, depth): the steps up to the root, by pointer jumping with one row a node; a root is its own parent."""
+    now = stored(nodes.select(F.col(node).alias("__n"), F.col(parent).alias("__r"), (F.col(node) != F.col(parent)).cast("int").alias("__d")), "depths")
+    while True:
+        up = now.select(F.col("__n").alias("__r"), F.col("__r").alias("__q"), F.col("__d").alias("__e"))
+        moved = stored(now.join(up, "__r").select("__n", F.col("__q").alias("__r"), (F.col("__d") + F.col("__e")).alias("__d"), (F.col("__q") != F.col("__r")).alias("__m")), "depths")
+        now = moved.drop("__m")
+        if moved.where("__m").isEmpty():
+            return now.select(F.col("__n").alias(node), F.col("__r").alias("root"), F.col("__d").alias("depth"))
+
+
 #: Points that a task meets with one block of others at most, in a join of vectors.
 VECTOR_BLOCK = 4_000
 #: Points, the least by node, whose distances to the others bound the distances of pairs.

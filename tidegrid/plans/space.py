@@ -86,13 +86,13 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("forest_depth", f"with recursive {TREE}, r as (select id, 0 as depth from t where id = parent union all select t.id, r.depth + 1 from t join r on t.parent = r.id and t.id <> t.parent) select id, depth from r")
 def forest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.ancestors(tree(spark, sf_dir)).groupBy("id").agg(F.max("steps").alias("depth"))
+    return grid.depths(tree(spark, sf_dir)).select("id", "depth")
 
 
 @query("subtree_sum", f"with recursive {TREE}, r as (select id, id as ancestor, v from t union all select r.id, t.parent, r.v from r join t on t.id = r.ancestor and t.id <> t.parent) select ancestor as id, round(sum(v), 2) as v from r group by 1")
 def subtree_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
-    return grid.ancestors(t.select("id", "parent")).join(t.select("id", "v"), "id").groupBy(F.col("ancestor").alias("id")).agg(F.round(F.sum("v"), 2).alias("v"))
+    return grid.below(t, {"v": ("v", "sum")}).select("id", F.round("v", 2).alias("v"))
 
 
 @query("eps_graph", "select a.vec_id as src, b.vec_id as dst, round(list_distance(a.embedding::double[], b.embedding::double[]), 5) as w from embeddings a join embeddings b on a.vec_id < b.vec_id where list_distance(a.embedding::double[], b.embedding::double[]) < 1.2")
