@@ -12,7 +12,7 @@ from .registry import query
 from .sampling import rounded
 
 #: The middle of each unit's order, its histogram, the parabola through its logarithms, and the rates under the null.
-NULL = f"""with d as (select l_orderkey % 4 as unit, l_orderkey as id, round(avg(l_extendedprice / 10000 + l_quantity / 10 + l_tax * 30), 6) as x from lineitem group by 1, 2), r as (select *, row_number() over (partition by unit order by x, id) - 1 as i, count(*) over (partition by unit) as n from d),
+NULL = f"""with d as (select l_orderkey % 4 as unit, l_orderkey as id, round(avg(l_extendedprice / 10000 + l_quantity / 10 + l_tax * 30), 9) as x from lineitem group by 1, 2), r as (select *, row_number() over (partition by unit order by x, id) - 1 as i, count(*) over (partition by unit) as n from d),
     c as (select * from r where i >= floor(n * 0.2::double) and i < floor(n * 0.8::double)), s as (select unit, count(*) as n, greatest(10, floor((max(x) - min(x)) / (3.5 * stddev_pop(x) / pow(count(*), 1.0::double / 3)))) as bins from d group by 1),
     g as (select unit, min(x) as lo, max(x) as hi, avg(x) as m from c group by 1), w as (select unit, s.n, lo, m, bins, (hi - lo) / bins as step from s join g using (unit)),
     h as (select unit, least(floor((x - lo) / step), bins - 1) as b, count(*) as k, any_value(lo) as lo, any_value(m) as m, any_value(step) as step from c join w using (unit) group by 1, 2),
@@ -26,7 +26,7 @@ NULL = f"""with d as (select l_orderkey % 4 as unit, l_orderkey as id, round(avg
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.col("l_extendedprice") / 10000 + F.col("l_quantity") / 10 + F.col("l_tax") * 30
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 4).alias("unit"), F.col("l_orderkey").alias("id")).agg(F.round(F.avg(each), 6).alias("x"))
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 4).alias("unit"), F.col("l_orderkey").alias("id")).agg(F.round(F.avg(each), 9).alias("x"))
 
 
 @query("empirical_null", f"{NULL} select unit, n, round(mu, 6) as mu, round(sigma, 6) as sigma, round(p0, 6) as p0 from e")
