@@ -42,7 +42,7 @@ def empirical_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curve.drop("fdr").join(tied, ["unit", "x"]).select("unit", "id", "fdr"), "fdr", places=5)
 
 
-@query("empirical_fdr_threshold", f"{NULL} select unit, round(case when min(x) filter (fdr < 0.25) is null then 'infinity'::double else (max(x) filter (fdr >= 0.25) + min(x) filter (fdr < 0.25)) / 2 end, 6) as threshold from f group by 1")
+@query("empirical_fdr_threshold", f"{NULL} select unit, case when min(x) filter (fdr < 0.25) is null then 'infinity'::double else (max(x) filter (fdr >= 0.25) + min(x) filter (fdr < 0.25)) / 2 end as threshold from f group by 1")
 def empirical_fdr_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = nulls.fdr_curve(totals(spark, sf_dir), ["unit"], "x")
-    return rounded(nulls.threshold(curve, ["unit"], "x", 0.25), "threshold", places=6)
+    return nulls.threshold(curve, ["unit"], "x", 0.25)
