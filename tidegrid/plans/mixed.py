@@ -11,12 +11,12 @@ from .registry import query
 from .sampling import rounded
 
 #: Balances with the variance that each is known with, and two groups of customers.
-DATA = "d as (select c_nationkey as unit, c_acctbal / 1000::double as y, 1.0 + c_custkey % 5 as v, (c_custkey % 2)::double as g from customer), c as (select unit, count(*) as n, sum(g) as s from d group by 1)"
+DATA = "d as (select c_nationkey as unit, c_acctbal / 7000::double as y, 1.0 + c_custkey % 5 as v, (c_custkey % 2)::double as g from customer), c as (select unit, count(*) as n, sum(g) as s from d group by 1)"
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_nationkey").alias("unit"), (F.col("c_acctbal") / 1000).alias("y"), (1.0 + F.col("c_custkey") % 5).alias("v"), (F.col("c_custkey") % 2).cast("double").alias("g"), F.lit(1.0).alias("a"))
+    return c.select(F.col("c_nationkey").alias("unit"), (F.col("c_acctbal") / 7000).alias("y"), (1.0 + F.col("c_custkey") % 5).alias("v"), (F.col("c_custkey") % 2).cast("double").alias("g"), F.lit(1.0).alias("a"))
 
 
 def _solution(group: bool, z: str) -> str:
@@ -47,7 +47,7 @@ ZERO = ", ".join([f"o{k} as (select unit, avg(z * z) + avg(vz) as s2 from (selec
 ONE = f"with {DATA}, {_em('n', False, 5, False)}, o0 as (select unit, avg(y * y) as s2 from d group by 1), {ZERO}, ol as (select unit, -sum(ln(s2 + v) + y * y / (s2 + v)) / 2 as ll from d join o5 using (unit) group by unit)"
 
 
-@query("mfx_two_sample", f"{BOTH} select f.unit, round(f.q, 6) as effect, round(f.s2, 6) as s2, round(greatest(0, 2 * (f.ll - n.ll)), 6) as f, round(sign(f.q) * sqrt(greatest(0, 2 * (f.ll - n.ll))), 5) as t from fl f join nl n using (unit)")
+@query("mfx_two_sample", f"{BOTH} select f.unit, round(f.q, 6) as effect, round(f.s2, 6) as s2, case when f.ll is not null then round(greatest(0, 2 * (f.ll - n.ll)), 6) end as f, round(sign(f.q) * sqrt(greatest(0, 2 * (f.ll - n.ll))), 5) as t from fl f join nl n using (unit)")
 def mfx_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(mixed.two_sample(customers(spark, sf_dir), ["unit"], "g", "y", "v"), "effect", "s2", "f", places=6), "t", places=5)
 
@@ -69,7 +69,7 @@ def two_level_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("unit", F.col("beta0")[0].alias("b0"), F.col("beta0")[1].alias("b1"), F.col("s20").alias("s2")), "b0", "b1", "s2", places=6)
 
 
-@query("two_level_lr", f"{FLAT} select unit, round(greatest(0, 2 * (f.ll - n.ll)), 6) as lr from fl f join nl n using (unit)")
+@query("two_level_lr", f"{FLAT} select unit, case when f.ll is not null then round(greatest(0, 2 * (f.ll - n.ll)), 6) end as lr from fl f join nl n using (unit)")
 def two_level_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mixed.two_level_lr(customers(spark, sf_dir), ["unit"], ["a", "g"], "y", "v", [[0, 1]]), "lr", places=6)
 
