@@ -71,20 +71,20 @@ def histograms(source: DataFrame, target: DataFrame, at: Sequence[str], transfor
     """
     if interpolate not in ("pv", "tri"):
         raise ValueError("interpolate is pv or tri")
-    each = []
-    for k, (matrix, shift) in enumerate(transforms):
-        place = [reduce(lambda a, b: a + b, [F.lit(float(m)) * F.col(a) for m, a in zip(row, at)]) + F.lit(float(s)) for row, s in zip(matrix, shift)]
-        each.append(F.struct(F.lit(k).alias("k"), *[x.alias(f"x{d}") for d, x in enumerate(place)]))
+    # a constant of the plan: each transform's rows of factors, the shift last
+    each = [F.struct(F.lit(k).alias("k"), F.array(*[F.array(*[F.lit(float(m)) for m in (*row, s)]) for row, s in zip(matrix, shift)]).alias("m")) for k, (matrix, shift) in enumerate(transforms)]
     dims = range(len(at))
     keep = [] if interpolate == "pv" else [F.struct(*at).alias("__cell")]
-    moved = source.where(F.col(bin_).isNotNull()).select(*keep, F.col(bin_).alias("a"), F.explode(F.array(*each)).alias("__t"))
-    x = [F.col(f"__t.x{d}") for d in dims]
+    moved = source.where(F.col(bin_).isNotNull()).select(*at, *keep, F.col(bin_).alias("a"), F.explode(F.array(*each)).alias("__t"))
+    place = [reduce(lambda a, b: a + b, [F.col("__t.m")[d][e] * F.col(c) for e, c in enumerate(at)]) + F.col("__t.m")[d][len(at)] for d in dims]
+    moved = moved.select(*[c for c in moved.columns if c == "__cell"], "a", F.col("__t.k").alias("k"), *[x.alias(f"__x{d}") for d, x in enumerate(place)])
+    x = [F.col(f"__x{d}") for d in dims]
     corners = []
     for step in itertools.product((0, 1), repeat=len(at)):
         weight = reduce(lambda a, b: a * b, [(x[d] - F.floor(x[d])) if s else (1 - x[d] + F.floor(x[d])) for d, s in enumerate(step)])
         corners.append(F.struct(*[(F.floor(x[d]) + s).alias(f"q{d}") for d, s in enumerate(step)], weight.alias("w")))
     names = ["__cell"] if keep else []
-    sent = moved.select(*names, "a", F.col("__t.k").alias("k"), F.explode(F.array(*corners)).alias("__e")).where("__e.w > 0")
+    sent = moved.select(*names, "a", "k", F.explode(F.array(*corners)).alias("__e")).where("__e.w > 0")
     sent = sent.select(*names, "a", "k", *[F.col(f"__e.q{d}").alias(f"__q{d}") for d in dims], F.col("__e.w").alias("w"))
     grid = target.where(F.col(bin_).isNotNull()).select(*[F.col(a).cast("long").alias(f"__q{d}") for d, a in enumerate(at)], F.col(bin_).alias("b"))
     met = sent.join(grid, [f"__q{d}" for d in dims])

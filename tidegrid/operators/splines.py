@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -36,8 +35,8 @@ def _along(cells: DataFrame, at: Sequence[str], axis: str, n: int) -> DataFrame:
     rest, period = [a for a in at if a != axis], 2 * (n - 1)
     copies = -(-(n + HALO) // period)
     x = F.col(axis).cast("long")
-    images = F.array_distinct(F.array(*[s * x + m * period for m in range(-copies, copies + 1) for s in (1, -1)]))
-    images = F.filter(images, lambda p: (p >= -HALO) & (p < n + HALO))
+    images = F.flatten(F.transform(F.sequence(F.lit(-copies), F.lit(copies)), lambda m: F.array(x + m * period, m * period - x)))
+    images = F.filter(F.array_distinct(images), lambda p: (p >= -HALO) & (p < n + HALO))
     last = (n - 1) // BLOCK
     blocks = F.sequence(F.greatest(F.floor((F.col("__p") - HALO) / BLOCK), F.lit(0)), F.least(F.floor((F.col("__p") + HALO) / BLOCK), F.lit(last)))
     sent = cells.select(*rest, F.explode(images).alias("__p"), "c").select(*rest, "__p", "c", F.explode(blocks).alias("__block"))
@@ -75,6 +74,12 @@ def _bounded(x: Column, n: int, mode: str) -> tuple[Column, Column]:
     return F.greatest(F.least(x, F.lit(float(n - 1))), F.lit(0.0)), weight
 
 
+def _nearest(x: Column, n: int) -> Column:
+    """Array of struct(q, w): the four positions nearest to x on an axis of n, mirrored into it, and the basis there."""
+    mirror = lambda q: F.lit(0).cast("long") if n == 1 else (n - 1) - F.abs(F.pmod(q, F.lit(2 * (n - 1))) - (n - 1))
+    return F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda s: F.struct(mirror(F.floor(x) + s).alias("q"), basis(x - F.floor(x) - s).alias("w")))
+
+
 def sample(coefs: DataFrame, at: Sequence[str], shape: Sequence[int], points: DataFrame, keys: Sequence[str], coordinates: Sequence[Column], modes: Sequence[str] | str = "zero") -> DataFrame:
     """(keys, value): the spline at each point's coordinates, 0 outside.
 
@@ -94,13 +99,12 @@ def sample(coefs: DataFrame, at: Sequence[str], shape: Sequence[int], points: Da
         x, w = _bounded(xs[k], n, mode)
         near = near.withColumn(f"__w{k}", w).withColumn(f"__x{k}", x)
     near = near.dropna(subset=[f"__w{k}" for k in range(len(at))])
-    mirror = lambda q, n: F.lit(0).cast("long") if n == 1 else (n - 1) - F.abs(F.pmod(q, F.lit(2 * (n - 1))) - (n - 1))
-    corners = []
-    for step in itertools.product((-1, 0, 1, 2), repeat=len(at)):
-        q = [F.floor(x) + s for x, s in zip(xs, step)]
-        weight = reduce(lambda a, b: a * b, [F.col(f"__w{k}") * basis(xs[k] - q[k]) for k in range(len(at))])
-        corners.append(F.struct(*[mirror(q[k], n).alias(f"q{k}") for k, n in enumerate(shape)], weight.alias("w")))
-    sent = near.select(*keys, F.explode(F.array(*corners)).alias("__e")).where("__e.w != 0").select(*keys, *[F.col(f"__e.q{k}").alias(f"__q{k}") for k in range(len(at))], F.col("__e.w").alias("__w"))
+    # one axis after the other, so the expressions stay small in any number of dimensions
+    sent = near.withColumn("__w", reduce(lambda a, b: a * b, [F.col(f"__w{k}") for k in range(len(at))]))
+    for k, n in enumerate(shape):
+        steps = _nearest(xs[k], n)
+        sent = sent.withColumn("__e", F.explode(steps)).where("__e.w != 0").withColumns({"__w": F.col("__w") * F.col("__e.w"), f"__q{k}": F.col("__e.q")})
+    sent = sent.select(*keys, *[f"__q{k}" for k in range(len(at))], "__w")
     grid = coefs.select(*[F.col(a).alias(f"__q{k}") for k, a in enumerate(at)], F.col("c").alias("__c"))
     met = sent.join(grid, [f"__q{k}" for k in range(len(at))])
     # points without any coefficient keep their row beside the parts of the others
