@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
 from .components import connected_components
 from .grid import neighbours
 from .ordered import quantile, ranked
@@ -107,7 +108,9 @@ def region_features(df: DataFrame, by: Sequence[str], x: str, weight: str | None
 def dense_histogram(df: DataFrame, x: str) -> DataFrame:
     """(bin, n) of whole numbers from 0 to their maximum, empty bins too."""
     n = df.where(F.col(x) >= 0).groupBy(F.col(x).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    every = n.agg(F.max("bin").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("bin"))
+    n = stored(n, "bins")
+    top = n.agg(F.max("bin")).first()[0]
+    every = df.sparkSession.range(0 if top is None else top + 1).select(F.col("id").alias("bin"))
     return every.join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -146,16 +149,22 @@ def centre_of_mass(df: DataFrame, at: Sequence[str], x: str) -> DataFrame:
 
 
 def pooled_covariance(df: DataFrame, unit: str, t: str, r: str) -> DataFrame:
-    """(t1, t2, cov): the mean over units of the products of residuals at two times; a unit is joined with itself, so its times bound the work."""
-    a, b = df.select(unit, F.col(t).alias("t1"), F.col(r).alias("__a")), df.select(unit, F.col(t).alias("t2"), F.col(r).alias("__b"))
+    """(t1, t2, cov): the mean over units of the products of residuals at two times.
+
+    A unit's times come together in one row and are multiplied there; the products are added up in the
+    tasks, so only one number for each pair of times leaves a task. Rows without a residual are left out.
+    """
+    rows = df.where(F.col(r).isNotNull()).groupBy(unit).agg(F.collect_list(F.struct(F.col(t).alias("t"), F.col(r).alias("r"))).alias("__a"))
+    pairs = rows.select(F.explode("__a").alias("__x"), "__a").select("__x", F.explode("__a").alias("__y"))
+    sums = pairs.groupBy(F.col("__x.t").alias("t1"), F.col("__y.t").alias("t2")).agg(F.sum(F.col("__x.r") * F.col("__y.r")).alias("__s"))
     n = df.agg(F.countDistinct(unit).alias("__n"))
-    return a.join(b, unit).groupBy("t1", "t2").agg(F.sum(F.col("__a") * F.col("__b")).alias("__s")).join(F.broadcast(n)).select("t1", "t2", (F.col("__s") / F.col("__n")).alias("cov"))
+    return sums.join(F.broadcast(n)).select("t1", "t2", (F.col("__s") / F.col("__n")).alias("cov"))
 
 
 def pca(df: DataFrame, unit: str, t: str, y: str, components: int) -> tuple[list[float], list[list[float]], DataFrame]:
     """(shares of variance, vectors over the times in order, rows (unit, component, score)).
 
-    The covariance of the times comes from one join of each unit with itself; it is as large as the
+    The covariance of the times comes from one row a unit; it is as large as the
     square of the times, which a design has few of, and its eigenvectors are taken on the driver.
     Scores are sums of products in the executors.
     """
@@ -204,9 +213,13 @@ def convolve(series: DataFrame, by: Sequence[str], t: str, x: str, kernel: Seque
 
 
 def co_labelling(df: DataFrame, item: str, label: str) -> DataFrame:
-    """(a, b), a < b: items of one label. As many rows as pairs: for small classes only."""
-    d = df.select(F.col(item).alias("a"), F.col(label).alias("__l"))
-    return d.join(d.select(F.col("a").alias("b"), "__l"), "__l").where("a < b").select("a", "b")
+    """(item, class, links): the least item with an item's label, and how many other items have it; items without a label are left out.
+
+    As many rows as items, not as pairs. Repeated rows are taken once.
+    """
+    d = df.select(F.col(item).alias("item"), F.col(label).alias("__l")).dropna(subset=["__l"]).distinct()
+    classes = d.groupBy("__l").agg(F.min("item").alias("class"), (F.count("*") - 1).alias("links"))
+    return d.join(classes, "__l").select("item", "class", "links")
 
 
 def sign_flip_cluster_sizes(df: DataFrame, at: Sequence[str], subject: str, y: str, flips: Sequence[int], threshold: float) -> DataFrame:

@@ -137,9 +137,9 @@ def event_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regions.convolve(e, ["unit"], "t", "x", [math.exp(-k / 4) for k in range(12)]), "convolved", places=6).drop("x")
 
 
-@query("co_labelling", "select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
+@query("co_labelling", "select c_custkey as item, min(c_custkey) over (partition by c_nationkey) as class, count(*) over (partition by c_nationkey) - 1 as links from customer")
 def co_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.co_labelling(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey")
+    return regions.co_labelling(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")
 
 
 PERM = f"""y as (select c_nationkey as i, month(o_orderdate) as j, year(o_orderdate) - 1992 as s, avg(o_totalprice) as y from orders join customer on o_custkey = c_custkey group by 1, 2, 3), c as (select i, j, s, y - (select avg(y) from y) as y from y), f as (select unnest({FLIPS}) as flip),
