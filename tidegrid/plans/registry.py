@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import calibration, cliques, clusters, designs, fits, formulas, gammas, graphs, masks, mixed, models, normals, nulls, regions, registration, regression, sampling, segmentation, series, space, spheres, splines, trends  # noqa: F401  they register on import
+    from . import calibration, cliques, clusters, designs, fits, formulas, gammas, graphs, maps, masks, mixed, models, normals, nulls, regions, registration, regression, sampling, segmentation, series, space, spheres, splines, trends  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:
