@@ -220,3 +220,12 @@ def test_deep_forests(spark):
         assert x.v == (held.pop() if len(held) == 1 else None)
     for ids, yes in (([i for i in under[0] if i not in inner], True), ([0, 299], False)):
         assert graphs.leaves_of_subtree(table, spark.createDataFrame([(i,) for i in ids], "id long")).first().yes is yes
+
+
+def test_co_labelling_keeps_every_row(spark, duck):
+    """Rows without a label and repeated rows are in the query's SQL too."""
+    rows = [(1, 7), (2, 7), (3, None), (4, None), (5, 8), (5, 8)]
+    made = regions.co_labelling(spark.createDataFrame(rows, "c_custkey long, c_nationkey long"), "c_custkey", "c_nationkey")
+    given = ", ".join(f"({a}, {'null' if b is None else b})" for a, b in rows)
+    wanted = duck.execute(f"with customer(c_custkey, c_nationkey) as (values {given}) {ORACLES['co_labelling']}").fetchall()
+    assert sorted(map(tuple, made.collect())) == sorted(wanted)
