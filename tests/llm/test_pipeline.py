@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from tidegrid.llm import queries, shingles
+from tidegrid.llm import common, quality, queries, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,20 @@ def test_near_copies_that_share_a_long_passage(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     got = {x.id: x.component for x in shingles.near_copies(docs, group=8).collect()}
     assert got == {i: i % 1000 for i in texts}
+
+
+def test_features_are_packed_and_deleted(spark):
+    texts = ["", "a b a", "one", " ".join(f"w{i}" for i in range(50))]
+    ids, shares = quality._lists(texts)
+    flat, ends = quality._flat(ids, np.int16)
+    parts, words = quality._flat(shares, np.float32)
+    values = quality._spread(parts, words)
+    # three ids of two bytes and one number of four for each different word
+    assert len(ids[3].as_py()) == 2 * (3 * 50 + 2) and len(shares[3].as_py()) == 4 * 50
+    assert ends.tolist() == [0, 2, 10, 15, 167] and len(values) == len(flat) == 167
+    assert np.allclose(values[2:10], [2 / 3] * 3 + [1 / 3] * 3 + [1, 1]) and values[:2].tolist() == [1, 1]
+    folder = common.stored(spark.range(3), "gone")
+    assert folder.count() == 3
+    common.drop_tables(folder)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        folder.count()

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, stored, without_rows
+from .common import drop_tables, small_batches, stored, without_rows
 
 #: Labelled rows that are fitted at most, and entries of their features together. They are chosen by a hash of the id.
 LABELLED_ROWS, LABELLED_ENTRIES = 3_000, 2_000_000
@@ -178,29 +178,30 @@ _HELD: dict[str, array] = {}
 
 
 def _lists(texts: list[str]) -> tuple[pa.Array, pa.Array]:
-    """Ids (int32) and values (float32) of the content features of texts, packed: each word's share of the text for each of its three features, and the repetition features. An id may occur more than once."""
-    ids, times, ends = array("i"), [], [0]
+    """Ids (int16) of the content features of texts, three for each word and the two of repetition, and each word's share of its text (float32), packed. An id may occur more than once."""
+    ids, shares, ends = array("h"), [], [0]
     for text in texts:
         counts = tokens(text)
         for w in counts:
             found = _HELD.get(w)
             if found is None:
-                found = array("i", word_features(w))
+                found = array("h", word_features(w))
                 if len(_HELD) >= CACHE_WORDS:
                     _HELD.clear()
                 _HELD[w] = found
             ids += found
         n = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
-        times += [np.repeat(n / max(1.0, float(n.sum())), 3), np.ones(2, dtype=np.float32)]
-        ids += array("i", repetition_features(counts))
+        shares.append(n / max(1.0, float(n.sum())))
+        ids += array("h", repetition_features(counts))
         ends.append(len(ids))
-    values = np.concatenate(times) if times else np.zeros(0, dtype=np.float32)
-    return _packed(np.array(ends, dtype=np.int32), ids.tobytes()), _packed(np.array(ends, dtype=np.int32), values.tobytes())
+    values = np.concatenate(shares) if shares else np.zeros(0, dtype=np.float32)
+    words = np.cumsum([0, *map(len, shares)])
+    return _packed(np.array(ends), ids.tobytes(), 2), _packed(words, values.tobytes(), 4)
 
 
-def _packed(ends: np.ndarray, raw: bytes) -> pa.Array:
-    """An array of byte strings that hold so many four-byte numbers each."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+def _packed(ends: np.ndarray, raw: bytes, width: int) -> pa.Array:
+    """An array of byte strings that hold so many numbers of so many bytes each."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((width * ends).astype(np.int32).tobytes()), pa.py_buffer(raw)])
 
 
 def _flat(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -209,11 +210,19 @@ def _flat(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, n
     _, at, raw = c.buffers()
     ends = np.frombuffer(at, dtype=np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if len(c) else np.zeros(1, dtype=np.int64)
     held = np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]].copy().view(kind) if raw is not None and ends[-1] > ends[0] else np.zeros(0, dtype=kind)
-    return held, (ends - ends[0]) // 4
+    return held, (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+def _spread(shares: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The values of the ids that _lists() makes: each word's share for its three, and 1 for both of repetition, which end a row."""
+    ends = words[1:] + np.arange(len(words) - 1)
+    times = np.full(len(shares) + len(ends), 3)
+    times[ends] = 2
+    return np.repeat(np.insert(shares, words[1:], 1), times)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang") -> DataFrame:
-    """(id, row, ids, values, meta): both views' features of every row of docs, as packed numbers; row is row_key()."""
+    """(id, row, ids, shares, meta): both views' features of every row of docs, as packed numbers; row is row_key()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,14 +231,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 meta = np.array([metadata(t, s, g) for t, s, g in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist())], dtype=np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *_lists(texts), _packed(np.arange(len(texts) + 1, dtype=np.int32) * META, meta.tobytes())],
-                    ["id", "row", "ids", "values", "meta"],
+                    [part.column(0), part.column(1), *_lists(texts), _packed(np.arange(len(texts) + 1) * META, meta.tobytes(), 4)],
+                    ["id", "row", "ids", "shares", "meta"],
                 )
             pa.default_memory_pool().release_unused()
 
     col = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col, source_col, lang_col).alias("row"), F.col(text_col).alias("text"), col(source_col).alias("source"), col(lang_col).alias("lang"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, ids binary, values binary, meta binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, ids binary, shares binary, meta binary")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang") -> Column:
@@ -238,11 +247,11 @@ def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str | No
 
 
 def _matrices(batch: pa.RecordBatch | pa.Table, model: Model) -> tuple[Sparse, Sparse]:
-    """Both views of a batch with columns ids, values and meta."""
-    (ids, ends), (values, _), (meta, _) = (_flat(batch.column(c), k) for c, k in (("ids", np.int32), ("values", np.float32), ("meta", np.float32)))
+    """Both views of a batch with columns ids, shares and meta."""
+    (ids, ends), (shares, words), (meta, _) = (_flat(batch.column(c), k) for c, k in (("ids", np.int16), ("shares", np.float32), ("meta", np.float32)))
     n = batch.num_rows
     dense = (meta.astype(float).reshape(-1, META) - model.mean) / model.sd
-    return Sparse(ids, values, ends), Sparse(np.tile(np.arange(META), n), dense.ravel(), np.arange(n + 1) * META)
+    return Sparse(ids.astype(np.int32), _spread(shares, words), ends), Sparse(np.tile(np.arange(META), n), dense.ravel(), np.arange(n + 1) * META)
 
 
 def scores(model: Model, batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -256,7 +265,7 @@ def scores(model: Model, batch: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def _confident(table: DataFrame, model: Model) -> pa.Table:
-    """(view, label, part, feature, total, n): sums of what the views label for each other, over all of table(row, ids, values, meta).
+    """(view, label, part, feature, total, n): sums of what the views label for each other, over all of table(row, ids, shares, meta).
 
     view is the one that learns. Sums are of whole multiples of UNIT, so their order has no part in them,
     and each task sums what it reads first. feature -1 counts documents. What comes to the driver is
@@ -290,19 +299,19 @@ def _confident(table: DataFrame, model: Model) -> pa.Table:
                     same = lambda x: pa.array(np.full(len(at), x, dtype=np.int32))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([same(k), same(c), same(q), pa.array(np.where(at == d, -1, at).astype(np.int32)), pa.array(sums[k][c][q][at])], ["view", "label", "part", "feature", "total"])
 
-    made = table.select("row", "ids", "values", "meta").mapInArrow(run, "view int, label int, part int, feature int, total long")
+    made = table.select("row", "ids", "shares", "meta").mapInArrow(run, "view int, label int, part int, feature int, total long")
     return made.groupBy("view", "label", "part", "feature").agg(F.sum("total").alias("total")).toArrow()
 
 
 def _labelled(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, labelled_rows: int, labelled_entries: int) -> pa.Table:
-    """(id, quality, ids, values, meta) of the labelled documents that are fitted; of an id's texts the one of least row counts."""
+    """(id, quality, ids, shares, meta) of the labelled documents that are fitted; of an id's texts the one of least row counts."""
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("quality")).dropna().groupBy("id").agg(F.max("quality").alias("quality"))
-    sized = table.select("id", "row", F.floor(F.octet_length("ids") / 4).alias("size")).join(given, "id").groupBy("id").agg(F.min(F.struct("row", "size", "quality")).alias("x"))
+    sized = table.select("id", "row", F.floor(F.octet_length("ids") / 2).alias("size")).join(given, "id").groupBy("id").agg(F.min(F.struct("row", "size", "quality")).alias("x"))
     drawn = sized.select("id", "x.*", F.xxhash64(F.col("id").cast("string"), F.lit(0)).alias("draw")).orderBy("draw", "id").limit(labelled_rows)
     # the limit holds few rows, so one window over them is small
     fits = drawn.withColumn("upto", F.sum("size").over(Window.orderBy("draw", "id"))).where(F.col("upto") <= labelled_entries).select(F.col("id").alias("chosen"), F.col("row").alias("chosen_row"), "quality")
     joined = table.join(F.broadcast(fits), (F.col("id") == F.col("chosen")) & (F.col("row") == F.col("chosen_row")))
-    return joined.select(F.col("id").cast("string").alias("id"), "quality", "ids", "values", "meta").dropDuplicates(["id"]).toArrow()
+    return joined.select(F.col("id").cast("string").alias("id"), "quality", "ids", "shares", "meta").dropDuplicates(["id"]).toArrow()
 
 
 def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, labelled_entries: int = LABELLED_ENTRIES, rounds: int = ROUNDS, sure: float = CONFIDENT) -> Model:
@@ -382,11 +391,14 @@ def judged(table: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", **bounds) -> DataFrame:
     """(id, row, p_content, p_metadata, p_quality, keep) for every row of docs; row is row_key().
 
-    Texts are read once: their features are written to the shared folder, and training and scoring read those.
+    Texts are read once: their features are written to the shared folder, and training and scoring read
+    those. They are deleted when the scores are written.
     """
     with small_batches(docs.sparkSession):
         table = stored(features(docs, id_col, text_col, source_col, lang_col), "quality-features", ROW_GROUP)
-        return stored(judged(table, train(table, labels, id_col, label_col, **bounds), threshold), "quality-scores")
+        found = stored(judged(table, train(table, labels, id_col, label_col, **bounds), threshold), "quality-scores")
+    drop_tables(table)
+    return found
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", lang_col: str | None = "lang", label_col: str = "quality", **bounds) -> DataFrame:
