@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from tidegrid.llm import common, quality, queries, shingles
+from tidegrid.llm import common, quality, queries, shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +84,21 @@ def test_near_copies_that_share_a_long_passage(spark):
     assert got == {i: i % 1000 for i in texts}
 
 
+def test_balls_of_simhashes_give_candidates(spark):
+    """Texts whose five-word SimHashes differ in at most two bits are candidates; bands are not asked."""
+    r = random.Random(5)
+    texts = {i: [f"w{r.randrange(5000)}" for _ in range(1500)] for i in range(30)}
+    for i in range(30):
+        texts[100 + i] = [*texts[i][:-1], f"new{i}"]
+    prints = {i: simhash.simhash(" ".join(t), shingles.WORDS) for i, t in texts.items()}
+    near = {i for i in range(30) if (prints[i] ^ prints[100 + i]).bit_count() <= 2}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    marks = common.stored(shingles.marked(docs, "doc_id", "text", shingles.WORDS), "marks")
+    name = {x.id: x.mark for x in marks.collect()}
+    got = {(x.a, x.b) for x in shingles.ball_pairs(marks, shingles.JACCARD).collect()}
+    assert len(near) > 10 and got == {tuple(sorted((name[i], name[100 + i]), reverse=True)) for i in near}
+
+
 def test_features_are_packed_and_deleted(spark):
     texts = ["", "a b a", "one", " ".join(f"w{i}" for i in range(50))]
     ids, shares = quality._lists(texts)
