@@ -99,6 +99,21 @@ def test_balls_of_simhashes_give_candidates(spark):
     assert len(near) > 10 and got == {tuple(sorted((name[i], name[100 + i]), reverse=True)) for i in near}
 
 
+def test_without_rows_given_all_keys(spark):
+    """A set of few bits has keys that are not in it."""
+    docs = spark.createDataFrame([(i % 3000, f"t{i}") for i in range(4000)], "doc_id long, text string")
+    bad = common.stored(docs.where("doc_id % 3 = 0").select(common.F.col("doc_id").alias("row")).distinct(), "bad")
+    full = common.bit_set
+    common.bit_set = lambda rows, hashed: full(rows, hashed, 7)
+    test = common.bit_test
+    common.bit_test = lambda hashed, held: test(hashed, held, 7)
+    try:
+        got = common.without_rows(docs, bad, common.F.col("doc_id"), docs.select(common.F.col("doc_id").alias("row")))
+        assert sorted(x.text for x in got.collect()) == sorted(f"t{i}" for i in range(4000) if i % 3000 % 3)
+    finally:
+        common.bit_set, common.bit_test = full, test
+
+
 def test_features_are_packed_and_deleted(spark):
     texts = ["", "a b a", "one", " ".join(f"w{i}" for i in range(50))]
     ids, shares = quality._lists(texts)

@@ -421,4 +421,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col
     """The rows of docs that classify() keeps, with their columns; only rows that may be rejected are shuffled."""
     found = judge(docs, labels, threshold, id_col, text_col, source_col, lang_col, label_col, **bounds)
     bad = stored(found.where("not keep").select("row").distinct(), "quality-rejected")
-    return without_rows(docs, bad, row_key(id_col, text_col, source_col, lang_col))
+    return without_rows(docs, bad, row_key(id_col, text_col, source_col, lang_col), found.select("row"))
