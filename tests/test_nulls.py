@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators import nulls
+from tidegrid.operators import nulls, ordered, samples as statistics
 
 tail = np.vectorize(lambda z: math.erfc(z / math.sqrt(2)) / 2)
 
@@ -66,3 +66,26 @@ def test_curve_and_thresholds(samples):
     # a shifted seventh of the values
     assert at["shifted"] < 0.2 and cut["shifted"] > 1.5
     assert curve.where("u = 'flat'").count() == 2 and nulls.learn(table.limit(0), ["u"], "x").count() == 0
+
+
+@pytest.fixture
+def other_cuts_each_time(monkeypatch):
+    """Approximate quantiles that differ whenever they are taken, as on a cluster."""
+    drawn = F.udf(lambda low, high, n: sorted(np.random.uniform(low, high, n).tolist()), "array<double>").asNondeterministic()
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda x, at, accuracy: drawn(F.min(x), F.max(x), F.lit(len(at))))
+
+
+def test_ranks_hold_for_any_cuts(spark, other_cuts_each_time):
+    r = np.random.default_rng(11)
+    x = {u: r.normal(size=800) for u in ("a", "b")}
+    table = spark.createDataFrame([(u, float(v)) for u in x for v in x[u]], "u string, x double")
+    for u, rows in table.transform(ordered.ranked, ["u"], "x").toPandas().groupby("u"):
+        assert rows.sort_values("x")["rank"].tolist() == list(range(1, 801)) and set(rows["n"]) == {800}
+    curve = nulls.fdr_curve(table, ["u"], "x").toPandas()
+    for u, rows in curve.groupby("u"):
+        assert np.allclose(rows.sort_values("x")["fdr"], curve_of(x[u], *learned(x[u])), rtol=1e-5, atol=1e-9)
+    median = lambda v: float(np.median(v))
+    for row in statistics.tukey(table, ["u"], "x", 0.1).collect():
+        m = median(x[row.u])
+        s, s0 = median(abs(x[row.u] - m)), median(abs(x[row.u] - 0.1))
+        assert math.isclose(row.tukey, np.sign(m - 0.1) * math.sqrt(2 * 800 * math.log(max(s0, s) / s)), rel_tol=1e-6, abs_tol=1e-6)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 #: Ranges that the values of a unit are cut into, so that no task orders a whole unit.
 RANGES = 64
 
@@ -16,13 +18,15 @@ def ranked(df: DataFrame, by: Sequence[str], x: str, tie: Sequence[str] = (), ra
     """df with range, rank (from 1, in ascending x, then tie) and n within each unit; rows with a null x go.
 
     Approximate quantiles cut a unit into ranges, which are ordered apart; the counts of the ranges
-    below are added. The cuts only balance the work: ranks are exact for any cuts.
+    below are added. The cuts only balance the work: ranks are exact for any cuts. Approximate quantiles
+    differ from run to run, with the order in which parts arrive, so the rows are written with their
+    ranges: counts and places must come from the same cuts.
     """
     by = list(by)
     df = df.where(F.col(x).isNotNull())
     at = [i / ranges for i in range(1, ranges)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(x, at, 1000).alias("__cuts"), F.count("*").alias("n"))
-    placed = _on(df, cuts, by).withColumn("range", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    placed = stored(_on(df, cuts, by).withColumn("range", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts"), "ranges")
     counts = placed.groupBy(*by, "range").agg(F.count("*").alias("__rows"))
     below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "range", F.coalesce(F.sum("__rows").over(below), F.lit(0)).alias("__below"))
