@@ -2,74 +2,52 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..storage import stored
-from .grid import VECTOR_BLOCK, ancestors, below, components, distance, pointer_roots
+from . import vectors
+from .grid import ancestors, below, components, distance, pointer_roots
 from .ordered import ranked
 
 
-def squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-def _pairs(x: DataFrame, y: DataFrame, node: str, vector: str) -> DataFrame:
-    """(src, dst, block, d2) of all x and y, dealt by blocks of both sides, so no task holds a whole side."""
-    blocks = max(1, math.ceil(max(x.count(), y.count()) / VECTOR_BLOCK))
-    a = x.select(F.col(node).alias("src"), F.col(vector).alias("p"), F.pmod(F.xxhash64(node), F.lit(blocks)).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = y.select(F.col(node).alias("dst"), F.col(vector).alias("q"), F.pmod(F.xxhash64(node), F.lit(blocks)).alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return a.join(b, ["a", "b"]).select("src", "dst", F.col("b").alias("block"), squared(F.col("p"), F.col("q")).alias("d2"))
-
-
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """(src, dst, d2): the k nearest of each src, of equal distances the least dst; first of each block, then of all."""
-    order = lambda *by: Window.partitionBy("src", *by).orderBy("d2", "dst")
-    few = pairs.withColumn("__k", F.row_number().over(order("block"))).where(F.col("__k") <= k)
-    return few.withColumn("__k", F.row_number().over(order())).where(F.col("__k") <= k).select("src", "dst", "d2")
-
-
 def cross_knn(x: DataFrame, y: DataFrame, k: int, node: str = "id", vector: str = "v") -> DataFrame:
-    """(src, dst, w): the k nearest y of every x, w their squared distance, 1e-15 at least. All pairs are compared, by blocks."""
-    return _nearest(_pairs(x, y, node, vector), k).select("src", "dst", F.greatest("d2", F.lit(1e-15)).alias("w"))
+    """(src, dst, w): the k nearest y of every x, w their squared distance, 1e-15 at least. All pairs are compared, by products of blocks."""
+    return vectors.nearest(x, y, k, node, vector).select("src", "dst", F.greatest("d2", F.lit(1e-15)).alias("w"))
 
 
 def knn(points: DataFrame, k: int, node: str = "id", vector: str = "v") -> DataFrame:
     """(src, dst, w), both ways: pairs of which one is among the k nearest of the other; w is their distance."""
-    near = _nearest(_pairs(points, points, node, vector).where("src <> dst"), k)
-    return near.union(near.select("dst", "src", "d2")).distinct().select("src", "dst", F.sqrt("d2").alias("w"))
+    near = vectors.nearest(points, None, k, node, vector)
+    return near.select("src", "dst", "d2", F.explode(F.array(F.lit(False), F.lit(True))).alias("back")).select(F.when(F.col("back"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("back"), F.col("src")).otherwise(F.col("dst")).alias("dst"), F.sqrt("d2").alias("w")).distinct()
 
 
 def cross_eps(x: DataFrame, y: DataFrame, eps: float, node: str = "id", vector: str = "v") -> DataFrame:
     """(src, dst, w): pairs whose squared distance is below eps, and that distance."""
-    return _pairs(x, y, node, vector).where(F.col("d2") < eps).select("src", "dst", F.col("d2").alias("w"))
+    return vectors.within(x, y, F.lit(float(eps)), node, vector).select("src", "dst", F.col("d2").alias("w"))
 
 
 def kernel_density(points: DataFrame, centres: DataFrame, sigma: float, node: str = "id", vector: str = "v") -> DataFrame:
     """(id, density): the sum of Gaussians about the centres at every point."""
-    p = _pairs(points, centres, node, vector)
-    return p.groupBy(F.col("src").alias(node)).agg(F.sum(F.exp(-F.col("d2") / (2 * sigma**2))).alias("density"))
+    return vectors.gaussians(points, centres, sigma, node, vector)
 
 
 def nearness(target: DataFrame, data: DataFrame, sigma: float, node: str = "id", vector: str = "v") -> DataFrame:
     """(score): over targets, the mean of exp(-d2 / 2 sigma^2) for the nearest of data."""
-    near = _pairs(target, data, node, vector).groupBy("src").agg(F.min("d2").alias("d2"))
+    near = vectors.nearest(target, data, 1, node, vector)
     return near.agg(F.coalesce(F.avg(F.exp(-F.col("d2") / (2 * sigma**2))), F.lit(0.0)).alias("score"))
 
 
 def voronoi_diagram(samples: DataFrame, seeds: DataFrame, node: str = "id", vector: str = "v") -> DataFrame:
     """(src, dst), src < dst: seeds that are the two nearest of some sample."""
-    near = _nearest(_pairs(samples, seeds, node, vector), 2).groupBy("src").agg(F.min("dst").alias("a"), F.max("dst").alias("b"))
+    near = vectors.nearest(samples, seeds, 2, node, vector).groupBy("src").agg(F.min("dst").alias("a"), F.max("dst").alias("b"))
     return near.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 def balls(points: DataFrame, centres: DataFrame, node: str = "id", vector: str = "v", radius: str = "radius") -> DataFrame:
     """(id, label): for points strictly within the radius of a centre its node; of several the last."""
-    p = _pairs(points, centres, node, vector).join(centres.select(F.col(node).alias("dst"), F.col(radius).alias("r")), "dst")
-    return p.where(F.col("d2") < F.col("r") * F.col("r")).groupBy(F.col("src").alias(node)).agg(F.max("dst").alias("label"))
+    near = vectors.within(points, centres, F.col(radius) * F.col(radius), node, vector)
+    return near.groupBy(F.col("src").alias(node)).agg(F.max("dst").alias("label"))
 
 
 def degrees(vertices: DataFrame, edges: DataFrame, vertex: str = "id") -> DataFrame:
