@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tidegrid.operators import graphs, vectors
+from tidegrid.operators import graphs, grid, vectors
 
 
 def folded(a, b):
@@ -61,6 +61,9 @@ def test_within_and_gaussians(points, blocks):
     half = lambda r: r.src % 10 == 0 and r.dst % 10
     cross = graphs.cross_eps(table.where("id % 10 = 0"), table.where("id % 10 <> 0"), 2.5)
     assert sorted(map(tuple, cross.collect())) == sorted((a, b, d) for a, b, d in near if a % 10 == 0 and b % 10 and d < 2.5)
+    for eps in (1.5, 1e-3):
+        graph = grid.eps_graph(table, eps, "id", "v")
+        assert sorted(map(tuple, graph.collect())) == sorted((a, b, math.sqrt(d)) for a, b, d in near if a < b and math.sqrt(d) < eps)
     sums, seen = {}, {a for a, _ in rows if a % 10 == 0}
     for a, b, d in near:
         if a % 10 == 0 and b % 10:

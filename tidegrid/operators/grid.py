@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from . import vectors
 from .components import connected_components
 
 
@@ -173,6 +174,8 @@ def depths(nodes: DataFrame, node: str = "id", parent: str = "parent") -> DataFr
 VECTOR_BLOCK = 4_000
 #: Points, the least by node, whose distances to the others bound the distances of pairs.
 PIVOTS = 6
+#: How many pairs a product of blocks compares in the time that a join takes for one.
+FASTER = 100
 
 
 def eps_graph(points: DataFrame, eps: float, node: str, vector: str) -> DataFrame:
@@ -182,20 +185,31 @@ def eps_graph(points: DataFrame, eps: float, node: str, vector: str) -> DataFram
     one with the widest spread gives bands of width eps, an equi-join on same or neighbouring bands;
     the others drop pairs before their distance is taken. Bands of many points are split into blocks
     that meet the band apart, so no task holds a whole band. Where eps is as wide as the spread, as
-    for unit vectors, no band prunes and the work is that of all pairs, spread over the blocks.
+    for unit vectors, no band prunes: all pairs are compared then, by products of blocks.
     """
     held = [r[vector] for r in points.orderBy(node).limit(PIVOTS).select(vector).collect()]
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+    held = [p for p in held if p is not None and all(v is not None and math.isfinite(v) for v in p)]
+    norm = F.sqrt(F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     marks = F.array(norm, *[distance(F.col(vector), F.array(*[F.lit(float(x)) for x in p])) for p in held])
-    marked = points.select(node, vector, marks.alias("__d"))
-    spread = marked.agg(F.count("*").alias("n"), *[F.coalesce(F.stddev_pop(F.col("__d")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(held) + 1)]).first()
+    # marks that overflow are alike, as are those that aren't numbers, which end with the distance
+    marked = points.select(node, vector, F.transform(marks, lambda m: F.least(m, F.lit(1e150))).alias("__d"))
+    spread = marked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.array_max("__d")), F.lit(0.0)).alias("top"), *[F.coalesce(F.stddev_pop(F.col("__d")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(held) + 1)]).first()
     key = max(range(len(held) + 1), key=lambda k: spread[f"s{k}"])
+    # marks are rounded
+    wide = eps * (1 + 1e-9) + 1e-13 * spread["top"]
+    banded = marked.withColumn("__band", F.floor(F.least(F.col("__d")[key] / wide, F.lit(1e15))))
+    sizes = banded.groupBy("__band").agg(F.count("*").cast("double").alias("m"))
+    beside = sizes.select(F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"), F.col("m").alias("k"))
+    met = sizes.join(beside, "__band").agg(F.coalesce(F.sum(F.col("m") * F.col("k")), F.lit(0.0)).alias("met")).first().met
+    if FASTER * met > float(spread["n"]) ** 2:
+        near = vectors.within(points, None, F.lit(float(eps) ** 2 * (1 + 1e-12)), node, vector)
+        return near.select("src", "dst", F.sqrt("d2").alias("w")).where(F.col("w") < eps)
     blocks = max(1, math.ceil(spread["n"] / VECTOR_BLOCK))
-    banded = marked.withColumn("__band", F.floor(F.col("__d")[key] / eps)).withColumn("__block", F.pmod(F.xxhash64(node), F.lit(blocks)))
+    banded = banded.withColumn("__block", F.pmod(F.xxhash64(node), F.lit(blocks)))
     near = F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1))
     other = banded.select(F.col(node).alias("dst"), F.col(vector).alias("__w"), F.col("__d").alias("__e"), near.alias("__band")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = banded.join(other, ["__band", "__block"]).where(F.col(node) < F.col("dst"))
-    met = met.where(F.forall(F.zip_with("__d", "__e", lambda x, y: F.abs(x - y)), lambda x: x < eps))
+    met = met.where(F.forall(F.zip_with("__d", "__e", lambda x, y: F.abs(x - y)), lambda x: x < wide))
     return met.select(F.col(node).alias("src"), "dst", distance(F.col(vector), F.col("__w")).alias("w")).where(F.col("w") < eps)
 
 
