@@ -229,3 +229,23 @@ def test_co_labelling_keeps_every_row(spark, duck):
     given = ", ".join(f"({a}, {'null' if b is None else b})" for a, b in rows)
     wanted = duck.execute(f"with customer(c_custkey, c_nationkey) as (values {given}) {ORACLES['co_labelling']}").fetchall()
     assert sorted(map(tuple, made.collect())) == sorted(wanted)
+
+
+def test_forest_of_unit_vectors(spark):
+    """Where no band prunes, pairs don't meet in a join; the forest is that of one walk from point to point."""
+    v = np.random.default_rng(8).normal(size=(700, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(v)], "id long, v array<float>")
+    near = grid.eps_graph(table, 1.35, "id", "v")
+    assert "Join" not in near._jdf.queryExecution().toString()
+    d = np.linalg.norm(v[:, None].astype(float) - v[None], axis=2)
+    best, out = np.where(d[0] < 1.35, d[0], np.inf), set()
+    best[0], up, left = np.inf, np.zeros(700, int), set(range(1, 700))
+    while left:
+        k = min(left, key=lambda i: best[i])
+        if best[k] < np.inf:
+            out.add((min(k, int(up[k])), max(k, int(up[k]))))
+        left.discard(k)
+        closer = (d[k] < best) & (d[k] < 1.35)
+        best[closer], up[closer] = d[k][closer], k
+    assert {(r.src, r.dst) for r in grid.spanning_forest(near).collect()} == out
