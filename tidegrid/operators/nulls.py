@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tails import norm_isf, norm_sf
+from ..storage import drop_tables, stored
 from . import models
 from .ordered import ranked
 
@@ -30,18 +31,20 @@ def learn(df: DataFrame, by: Sequence[str], x: str, left: float = 0.2, right: fl
     """
     by = list(by)
     rows = df.select(*by, F.col(x).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
-    r = ranked(rows, by, "__x").select(*by, "__x", "n", "rank")
+    # the order is used for the bins and for the histogram, the histogram for means and for sums about them
+    r = stored(ranked(rows, by, "__x").select(*by, "__x", "n", "rank"), "null-order")
     index = F.col("rank") - 1
     inside = (index >= F.floor(F.col("n") * F.lit(left))) & (index < F.floor(F.col("n") * F.lit(right)))
     mid = F.when(inside, F.col("__x"))
     about = r.groupBy(*by).agg(F.first("n").alias("n"), F.stddev_pop("__x").alias("__sd"), (F.max("__x") - F.min("__x")).alias("__range"), F.min(mid).alias("__lo"), F.max(mid).alias("__hi"), F.avg(mid).alias("__mid"))
     wide = F.lit(3.5) * F.col("__sd") / F.pow(F.col("n").cast("double"), F.lit(1 / 3))
     about = about.withColumn("__bins", F.least(F.greatest(F.lit(BINS), F.floor(F.try_divide("__range", wide))), F.lit(MOST_BINS)))
-    about = about.withColumn("__step", F.nullif((F.col("__hi") - F.col("__lo")) / F.col("__bins"), F.lit(0.0))).drop("__sd", "__range")
+    about = stored(about.withColumn("__step", F.nullif((F.col("__hi") - F.col("__lo")) / F.col("__bins"), F.lit(0.0))).drop("__sd", "__range"), "null-bins")
     placed = r.where(inside).drop("n").join(about, by)
     # the last bin holds its upper end
     bin_ = F.least(F.floor((F.col("__x") - F.col("__lo")) / F.col("__step")), F.col("__bins") - 1)
-    hist = placed.withColumn("__bin", bin_).groupBy(*by, "__bin").agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in ("__lo", "__mid", "__step")])
+    hist = stored(placed.withColumn("__bin", bin_).groupBy(*by, "__bin").agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in ("__lo", "__mid", "__step")]), "null-histogram")
+    drop_tables(r)
     at = F.col("__lo") + (F.col("__bin") + 0.5) * F.col("__step") - F.col("__mid")
     points = hist.where("__bin is not null").select(*by, F.lit(1.0).alias("__one"), at.alias("__at"), (at * at).alias("__square"), F.log("__n").alias("__log"))
     fits = models.fit(points, by, ["__one", "__at", "__square"], "__log").select(*by, "beta")
@@ -59,15 +62,18 @@ def fdr_curve(df: DataFrame, by: Sequence[str], x: str, null: DataFrame | None =
     of the distributed order, from the top, and the ranges' maxima above are added.
     """
     by = list(by)
+    df = stored(df, "null-values") if null is None else df
     null = learn(df, by, x, **cuts) if null is None else null
     held = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
     r = ranked(held, by, x).join(null.select(*by, F.col("mu").alias("__mu"), F.col("sigma").alias("__sigma"), F.col("p0").alias("__p0")), by)
     tail = norm_sf((F.col(x) - F.col("__mu")) / F.col("__sigma"))
-    r = r.withColumn("__raw", F.least(F.lit(1.0), F.col("__p0") * tail * F.col("n") / (F.col("n") - F.col("rank") + 1)))
+    raw = F.least(F.lit(1.0), F.col("__p0") * tail * F.col("n") / (F.col("n") - F.col("rank") + 1))
+    r = stored(r.select(*df.columns, "range", "rank", raw.alias("__raw")), "null-rates")
     tops = r.groupBy(*by, "range").agg(F.max("__raw").alias("__top"))
     above = Window.partitionBy(*by).orderBy("range").rowsBetween(1, Window.unboundedFollowing)
     tops = tops.select(*by, "range", F.max("__top").over(above).alias("__above"))
-    inside = Window.partitionBy(*by, "range").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    # from the top, as a frame that runs to the end is gone through again for each row
+    inside = Window.partitionBy(*by, "range").orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = r.withColumn("__here", F.max("__raw").over(inside)).join(tops, [*by, "range"])
     return out.withColumn("fdr", F.greatest("__here", "__above")).select(*df.columns, "fdr")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nulls
 from ..sources.tables import table
+from ..storage import stored
 from .models import SIMPSON
 from .registry import query
 from .sampling import rounded
@@ -36,7 +37,7 @@ def empirical_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("empirical_fdr", f"{NULL} select unit, id, round(max(fdr) over (partition by unit, x), 5) as fdr from f")
 def empirical_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = nulls.fdr_curve(totals(spark, sf_dir), ["unit"], "x")
+    curve = stored(nulls.fdr_curve(totals(spark, sf_dir), ["unit"], "x"), "null-curve")
     # equal totals, whose order is open, take the larger rate
     tied = curve.groupBy("unit", "x").agg(F.max("fdr").alias("fdr"))
     return rounded(curve.drop("fdr").join(tied, ["unit", "x"]).select("unit", "id", "fdr"), "fdr", places=5)
